@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import licenses, line_dedup, secrets, topk, url_filter
+from sparkloom.llm import langid, licenses, line_dedup, packing, secrets, simhash, topk, url_filter
 from sparkloom.tables import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -85,6 +85,10 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10"""
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
@@ -96,12 +100,21 @@ WITH known(digest, license) AS (VALUES {known}), d AS (SELECT doc_id, md5({licen
 SELECT doc_id, digest, license FROM d LEFT JOIN known USING (digest)"""
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, folder, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_topk, op5_license_scan, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_topk, op4_best_fit_packing, op5_license_scan, op7_simhash, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
