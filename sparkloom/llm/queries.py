@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, licenses, line_dedup, packing, secrets, simhash, topk, url_filter
+from sparkloom.llm import decontaminate, langid, licenses, line_dedup, packing, secrets, simhash, topk, url_filter
 from sparkloom.tables import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -100,6 +100,10 @@ WITH known(digest, license) AS (VALUES {known}), d AS (SELECT doc_id, md5({licen
 SELECT doc_id, digest, license FROM d LEFT JOIN known USING (digest)"""
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, folder, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -114,7 +118,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_topk, op4_best_fit_packing, op5_license_scan, op7_simhash, op9_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_topk, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_simhash, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
