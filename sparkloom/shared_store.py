@@ -19,11 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
