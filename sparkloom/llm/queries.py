@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, langid, licenses, line_dedup, packing, secrets, simhash, topk, url_filter
+from sparkloom.llm import decontaminate, langid, licenses, line_dedup, packing, secrets, simhash, substring_dedup, topk, url_filter
 from sparkloom.tables import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -109,6 +109,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
@@ -118,7 +122,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_topk, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_simhash, op9_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_topk, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_simhash, op8_substring_dedup, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
