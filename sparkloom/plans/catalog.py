@@ -6,16 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.tables import table
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("lang").count()
+from sparkloom.plans import registry, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
