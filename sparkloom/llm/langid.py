@@ -119,14 +119,18 @@ def fit(texts: list[str], langs: list[str], *, seed: int = 3) -> Network | None:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Fit on at most `sample` rows with text and label that aren't held out: those of the smallest hash of text and key.
+    """Fit on about `sample` rows with text and label that aren't held out: those whose hash of key and text is lowest.
 
-    The bound holds for what comes to the driver: of each of those rows up to 4 KB from a place that its hash chooses.
+    Their number is counted first, and the hash's bound follows from it, so that what the tasks send to the driver stays as
+    small for any input: up to twice `sample` rows, each with 2048 characters at most from a place that its hash chooses.
     """
-    size, part = F.length(F.col(text)), 4096
+    size, part = F.length(F.col(text)), 2048
     at = F.when(size > part, F.pmod(F.xxhash64(F.col(key)), size - part + 1)).otherwise(0).cast("int") + 1
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    rows = rows.select(F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("h"), F.substring(F.col(text), at, F.lit(part)).alias("t"), F.col(lang).cast("string").alias("l"))
+    n = rows.count()
+    h = F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col(text)), F.lit(1 << 40))
+    rows = rows.withColumn("__h", h).filter(F.col("__h") < int((1 << 40) * min(1.0, 1.5 * sample / max(n, 1))))
+    rows = rows.select(F.col("__h").alias("h"), F.substring(F.col(text), at, F.lit(part)).alias("t"), F.col(lang).cast("string").alias("l"))
     found = [r for r in rows.orderBy("h", "t", "l").limit(sample).collect() if LETTER.search(r["t"])]
     return fit([r["t"] for r in found], [r["l"] for r in found])
 
