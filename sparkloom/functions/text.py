@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 CAMEL = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+"
+_CAMEL = re.compile(CAMEL)
 STOP = tuple("and as assert async await class cls def del elif else except false finally for from global if import in is lambda none nonlocal not or pass raise return self true try while with yield".split())
 MOST_IDENTIFIERS, MOST_TERMS = 200, 300
 
@@ -34,16 +39,27 @@ def split_identifier(ident: Column) -> Column:
     return F.when(ident == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(ident), F.filter(parts, lambda x: x != F.lower(ident))))
 
 
-def search_terms(identifiers: Column, limit: int = MOST_TERMS) -> Column:
-    """All identifiers split, each term once by lower case in the spelling that comes first, cut at `limit`."""
-    flat = F.flatten(F.transform(identifiers, split_identifier))
-    low = F.transform(flat, lambda x: F.lower(x))
-    keys = F.slice(F.array_distinct(low), 1, limit)
-    return F.transform(keys, lambda k: F.element_at(flat, F.array_position(low, k).cast("int")))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def search_terms(identifiers: pd.Series) -> pd.Series:
+    """All identifiers split, each term once by lower case in the spelling that comes first, cut at MOST_TERMS.
+
+    In Python, as finding the spelling again for each key would cost a look over all terms; search_keys() needs none.
+    """
+
+    def terms(idents) -> list[str] | None:
+        found: dict[str, str] = {}
+        for ident in idents if idents is not None else ():
+            for term in (ident, *(p.lower() for p in _CAMEL.findall(ident))):
+                found.setdefault(term.lower(), term)
+            if len(found) >= MOST_TERMS:
+                break
+        return list(found.values())[:MOST_TERMS]
+
+    return pd.Series([terms(x) for x in identifiers])
 
 
 def search_keys(identifiers: Column, limit: int = MOST_TERMS) -> Column:
-    """search_terms() in lower case, without looking up the spelling."""
+    """The search terms in lower case, without looking up the spelling."""
     flat = F.flatten(F.transform(identifiers, split_identifier))
     return F.slice(F.array_distinct(F.transform(flat, lambda x: F.lower(x))), 1, limit)
 

@@ -19,9 +19,9 @@ TOKENS = "CASE WHEN {0} = '' THEN 0 ELSE CAST(greatest(1, round_even((length({0}
 TERMS = f"""
 idents AS (SELECT k, unnest(ids) AS ident, generate_subscripts(ids, 1) AS pos FROM src),
 parts AS (SELECT k, pos, unnest(list_concat([ident], {CAMEL.format("ident")})) AS term, generate_subscripts(list_concat([ident], {CAMEL.format("ident")}), 1) AS sub FROM idents),
-firsts AS (SELECT k, lower(term) AS key, arg_min(term, pos * 100000 + sub) AS term, min(pos * 100000 + sub) AS at FROM parts GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY at) AS r FROM firsts),
-terms AS (SELECT k, key, term, at, r FROM ranked WHERE r <= 300)"""
+firsts AS (SELECT k, lower(term) AS key, arg_min(term, pos * 100000 + sub) AS term, min(pos * 100000 + sub) AS spot FROM parts GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY spot) AS r FROM firsts),
+terms AS (SELECT k, key, term, spot, r FROM ranked WHERE r <= 300)"""
 RAW = "regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*')"
 
 
@@ -37,7 +37,7 @@ def extract_identifiers(spark, d):
 
 
 @query(f"""WITH src AS (SELECT DISTINCT p_name AS k, [replace(p_name, ' ', '_')] AS ids FROM part UNION SELECT 'HTTPServerError_v2_x', ['HTTPServerError_v2_x']), {TERMS}
-SELECT k AS name, string_agg(term, ' ' ORDER BY at) AS terms FROM terms GROUP BY k""")
+SELECT k AS name, string_agg(term, ' ' ORDER BY spot) AS terms FROM terms GROUP BY k""")
 def split_identifier(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("ident")).distinct()
     names = names.unionByName(spark.sql("SELECT 'HTTPServerError_v2_x' AS name, 'HTTPServerError_v2_x' AS ident"))
@@ -45,14 +45,14 @@ def split_identifier(spark, d):
 
 
 @query(f"""WITH src AS (SELECT doc_id AS k, {RAW.format('text')} AS ids FROM documents), {TERMS}
-SELECT k AS doc_id, string_agg(term, ' ' ORDER BY at) AS terms, count(*) AS n_terms FROM terms GROUP BY k""")
+SELECT k AS doc_id, string_agg(term, ' ' ORDER BY spot) AS terms, count(*) AS n_terms FROM terms GROUP BY k""")
 def build_search_terms(spark, d):
-    terms = text.search_terms(text.raw_identifiers(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", terms.alias("t")).filter(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").cast("long").alias("n_terms"))
+    docs = table(spark, d, "documents").select("doc_id", text.search_terms(text.raw_identifiers(F.col("text"))).alias("t"))
+    return docs.filter(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").cast("long").alias("n_terms"))
 
 
 @query(f"""WITH src AS (SELECT item_id AS k, {RAW.format('text')} AS ids FROM benchmark), {TERMS}
-SELECT k AS item_id, string_agg(key, ' | ' ORDER BY at) AS tsquery FROM terms GROUP BY k""")
+SELECT k AS item_id, string_agg(key, ' | ' ORDER BY spot) AS tsquery FROM terms GROUP BY k""")
 def expand_query_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.tsquery_terms(F.col("text")), " | ").alias("tsquery"))
 
