@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.shared_store import materialize
+
 SALTS = 16
 
 
@@ -43,8 +45,9 @@ def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text
 
     Null text stays null, null host keeps its text, empty text stays empty; a text of boilerplate alone becomes empty.
     Lines are parted by newline; blank lines are never dropped. `count` names a column for the number of dropped lines.
-    A host's flagged keys are one row (fewer than lines per page / ratio of them); Spark broadcasts those rows
-    only below its own size limit, and else deals documents and rows out by host and salt.
+    A host's flagged keys are one row (fewer than lines per page / ratio of them). They are written out first, so that
+    Spark knows their size: it broadcasts them only below its own limit, and else deals documents and rows out by
+    host and salt.
     """
     flagged = (
         boilerplate_lines(docs, host=host, text=text, ratio=ratio, min_pages=min_pages)
@@ -52,6 +55,7 @@ def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text
         .agg(F.collect_list(F.struct("x", "y")).alias("__bad"))
         .select(F.col("host").alias("__host"), "__bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     )
+    flagged = materialize(flagged, "boilerplate")
     salt = F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int")
     joined = docs.join(flagged, (docs[host] == flagged["__host"]) & (salt == flagged["__salt"]), "left")
     lines = _lines(F.col(text))
