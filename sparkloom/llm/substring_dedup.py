@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     classes = materialize(classes.select("sha", "copies", F.col("r.doc_id").alias("rep")), "classes")
     own = rows.filter("n_bytes >= 200").join(classes.withColumnRenamed("sha", "c"), (F.col("sha") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     each = own.select("doc_id", "mark", F.explode(F.arrays_zip("gram", "place", "first", "last")).alias("x")).select("doc_id", "mark", "x.*")
-    twice = each.groupBy("gram").count().filter("count > 1").select("gram")
+    # Written out, so that the join reads two plain exchanges, whose hot keys Spark can split.
+    twice = materialize(each.groupBy("gram").count().filter("count > 1").select("gram"), "grams")
     hits = each.join(twice, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "first", "last")).alias("runs"))
     hits = materialize(hits, "runs")
     _tidy(spark)
