@@ -25,7 +25,15 @@ def materialize(df: DataFrame, label: str = "t", compression: str = "snappy") ->
     path = f"{shared_folder(spark)}/sparkloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: what was made of them must have been written out."""
+    for t in tables:
+        _drop(t.sparkSession, t._stored_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
