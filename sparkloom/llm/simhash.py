@@ -211,13 +211,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, budget: int = 3, key: st
 
 
 def keep_first(docs: DataFrame, *, words: int = 3, budget: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest key (of repeated rows one, chosen by their values).
+    """docs with one row of each component: that of the smallest key.
 
-    Rows without key are kept all.
+    Rows of one key count as copies of one document: one of them stays, that of the smallest hash of its text, if the key is its
+    component's smallest. Rows without key are kept all.
     """
-    near = near_duplicates(docs, words=words, budget=budget, key=key, text=text)
-    gone = near.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs[key] == gone["__gone"], "left_anti")
-    repeated = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).count().filter("count > 1").select("__key")
-    once = left.join(repeated, left[key] == repeated["__key"], "left_anti")
-    return once.unionByName(left.join(repeated, left[key] == repeated["__key"], "left_semi").dropDuplicates([key]))
+    near = near_duplicates(docs, words=words, budget=budget, key=key, text=text).filter("doc_id is not null")
+    keys = near.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    # Written out, so that Spark knows how large they are: the documents' texts are shuffled only if these keys can't be broadcast.
+    marked = materialize(keys.filter("not first or n > 1").select("__key", (~F.col("first")).alias("__gone")), "marked")
+    found = docs.join(marked, docs[key] == marked["__key"], "left").filter("__gone is null or not __gone")
+    once = found.filter("__gone is null").select(*docs.columns)
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    again = found.filter("not __gone").groupBy("__key").agg(F.min_by(row, F.coalesce(F.xxhash64(F.col(text)), F.lit(0))).alias("r")).select("r.*")
+    return once.unionByName(again)

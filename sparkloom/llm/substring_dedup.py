@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.shared_store import materialize
+from sparkloom.shared_store import discard, materialize
 
 #: Length of the strings, and of the gram whose hash chooses the suffix that stands for a window.
 LENGTH, GRAM = 200, 48
@@ -303,22 +303,27 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     twice = materialize(each.groupBy("gram").count().filter("count > 1").select("gram"), "grams")
     hits = each.join(twice, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "first", "last")).alias("runs"))
     hits = materialize(hits, "runs")
+    slim = materialize(rows.select("doc_id", "mark", "n_bytes", "sha"), "sizes")
+    discard(twice, rows)
     _tidy(spark)
     paired = texts.join(hits.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "runs"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     contexts = paired.select("doc_id", "mark", "text", "runs").mapInArrow(_contexts, "doc_id long, mark long, first int, cid binary, left int, lead binary, ctx binary")
     contexts = materialize(contexts, "contexts", compression="zstd")
+    discard(hits)
     _tidy(spark)
     # Strings agree, and must be compared, only where contexts differ: copies of a context are counted first.
     distinct = contexts.groupBy("cid").agg(F.count("*").alias("copies"), F.first("left").alias("left"), F.first("lead").alias("lead"), F.first("ctx").alias("ctx"))
     distinct = materialize(distinct, "distinct", compression="zstd")
     _tidy(spark)
     flags = materialize(_flagged(distinct, spark), "flags")
+    discard(distinct)
     _tidy(spark)
     owners = contexts.select("doc_id", "mark", "first", "cid").join(flags, "cid")
     spans = F.transform(F.arrays_zip("since", "until"), lambda s: F.struct((s["since"] + F.col("first")).alias("a"), (s["until"] + F.col("first")).alias("b")))
     spans = owners.select("doc_id", "mark", F.explode(spans).alias("s")).groupBy("doc_id", "mark").agg(F.collect_list("s").alias("spans"))
-    once = rows.select("doc_id", "mark", "n_bytes", "sha").join(classes.select("sha", "copies"), "sha", "left")
-    return once, materialize(spans, "spans")
+    spans = materialize(spans, "spans")
+    discard(contexts, flags)
+    return slim.join(classes.select("sha", "copies"), "sha", "left"), spans
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,6 +341,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     paired = texts.join(spans.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "spans"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     cut = paired.select("doc_id", "mark", "text", "spans").mapInArrow(_cut, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string")
     cut = materialize(cut.dropDuplicates(["doc_id", "mark"]), "cut")
+    discard(spans)
     _tidy(docs.sparkSession)
     cut = cut.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "n_removed", "n_spans", "kept_sha256")
     both = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
