@@ -12,7 +12,7 @@ COPYRIGHT = r"(?m)^[ \t*#/]*(?:copyright\b|\(c\)|©)[^\n]*$"
 MARKS = r"[^\p{L}\p{N}]+"
 #: Spellings that mean the same, as words or groups of words.
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub licensed", "sublicensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sub licensed", "sublicensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
     ("organisation", "organization"), ("organisations", "organizations"), ("authorisation", "authorization"), ("authorised", "authorized"), ("merchantibility", "merchantability"), ("favour", "favor"),
     ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("http", "https"), ("analyse", "analyze"), ("recognise", "recognize"),
 )
