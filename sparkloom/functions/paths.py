@@ -7,9 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IGNORED = (".git .idea .mypy_cache .pytest_cache .ruff_cache .tox .venv .vscode __pycache__ build dist generated migrations node_modules site-packages target vendor venv").split()
-LANGUAGES = {ext: lang for lang, exts in {"python": "py", "javascript": "js jsx mjs cjs", "typescript": "ts mts cts", "tsx": "tsx", "go": "go", "java": "java", "rust": "rs"}.items() for ext in exts.split()}
-BINARY = ("7z a avi bin bmp bz2 class db dll dylib eot exe gif gz ico jar jpeg jpg mov mp3 mp4 npy npz o ogg onnx parquet pdf pkl png pt pyc pyd rar so sqlite svg tar tgz ttf wasm wav webp woff woff2 zip").split()
+# Folders that are skipped, languages by extension, extensions of binary files.
+IGNORED = (
+    "node_modules", "vendor", "dist", "build", ".venv", "venv", "__pycache__", "generated", "migrations",
+    ".git", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tox", ".idea", ".vscode", "target", "site-packages",
+)
+LANGUAGES = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "rs": "rust",
+}
+BINARY = (
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "svg", "pdf", "zip", "gz", "tar", "tgz", "bz2", "7z", "rar",
+    "so", "dylib", "dll", "a", "o", "class", "jar", "pyc", "pyd", "exe", "bin", "wasm", "woff", "woff2", "ttf", "eot",
+    "mp3", "mp4", "mov", "avi", "wav", "ogg", "webp", "parquet", "pkl", "pt", "onnx", "npy", "npz", "db", "sqlite",
+)
 SECRET_FILE = r"(^|/)(\.env(\.[a-z]+)?|id_(rsa|dsa|ed25519)|[^/]*\.(pem|key|p12|pfx|keystore)|credentials(\.json)?|\.netrc|\.pgpass)$"
 #: Label -> pattern of what redact() takes out.
 SECRETS = {

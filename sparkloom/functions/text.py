@@ -12,7 +12,11 @@ from pyspark.sql import types as T
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 CAMEL = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+"
 _CAMEL = re.compile(CAMEL)
-STOP = tuple("and as assert async await class cls def del elif else except false finally for from global if import in is lambda none nonlocal not or pass raise return self true try while with yield".split())
+# Words of programming languages that aren't taken for identifiers.
+STOP = (
+    "self", "cls", "def", "class", "return", "import", "from", "as", "if", "else", "elif", "for", "while", "try", "except", "finally", "with",
+    "pass", "raise", "none", "true", "false", "and", "or", "not", "in", "is", "lambda", "yield", "await", "async", "global", "nonlocal", "del", "assert",
+)
 MOST_IDENTIFIERS, MOST_TERMS = 200, 300
 
 

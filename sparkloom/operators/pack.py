@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Categories in the order in which reasons decide, with the tier that orders the prompt.
-TIERS = {"target": 0, "changed": 1, "implementation": 2, "dependencies": 3, "callers": 4, "tests": 5, "semantic": 6, "additional": 7}
+# The tier of each category, which orders the prompt.
+TIERS = {"target": 1, "changed": 2, "implementation": 3, "dependencies": 4, "callers": 5, "tests": 6, "semantic": 7, "additional": 8}
 MAX_TOKENS, OVERHEAD = 12_000, 600
 
 

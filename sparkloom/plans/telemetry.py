@@ -22,7 +22,7 @@ PRICED = f"pr AS (SELECT *, coalesce({_price_sql('model', 0)}, 3.0{D}) AS pin, c
 ATTR = f"""{PRICED}, at0 AS (SELECT count(*) AS requests, sum(input_tokens)::BIGINT AS fresh, sum(cached_input_tokens)::BIGINT AS reads, sum(cache_creation_input_tokens)::BIGINT AS writes, sum(output_tokens)::BIGINT AS output, sum(tool_result_chars)::BIGINT AS tool_chars, sum(tool_schema_chars)::BIGINT AS schema_chars, count(*) FILTER (NOT success) AS failed,
  sum(input_tokens / 1e6 * pin) AS fresh_usd, sum(coalesce(cached_input_tokens, 0) / 1e6 * pin * 0.1{D}) AS read_usd, sum(coalesce(cache_creation_input_tokens, 0) / 1e6 * pin * 1.25{D}) AS write_usd, sum(output_tokens / 1e6 * pout) AS output_usd FROM pr),
 attr AS (SELECT *, fresh_usd + read_usd + write_usd + output_usd AS total_usd, reads / (fresh + reads){D} AS hit_rate, fresh_usd / fresh * 1e6 AS eff_price FROM at0)"""
-MIX = f"{PRICED}, mix AS (SELECT model, count(*) AS requests, sum(coalesce(input_tokens, 0))::BIGINT AS fresh, sum(coalesce(cached_input_tokens, 0))::BIGINT AS reads, sum(coalesce(cache_creation_input_tokens, 0))::BIGINT AS writes, sum(coalesce(output_tokens, 0))::BIGINT AS output, round(sum({_USD.format('pin', 'pout')}), 6) AS usd FROM pr GROUP BY 1)"
+MIX = f"{PRICED}, mix AS (SELECT model, count(*) AS requests, sum(coalesce(input_tokens, 0))::BIGINT AS fresh, sum(coalesce(cached_input_tokens, 0))::BIGINT AS reads, sum(coalesce(cache_creation_input_tokens, 0))::BIGINT AS writes, sum(coalesce(output_tokens, 0))::BIGINT AS output, round(sum({_USD.format('pin', 'pout')}), 9) AS usd FROM pr GROUP BY 1)"
 _MONEY = ("fresh_usd", "read_usd", "write_usd", "output_usd", "total_usd", "hit_rate", "eff_price")
 
 
@@ -84,9 +84,9 @@ def row_usd(spark, d):
     return doctor.priced(_requests(spark, d), PRICES).select("request_id", F.round(doctor.row_usd(F.col("pin"), F.col("pout")), 9).alias("usd"))
 
 
-@query(f"WITH {ATTR} SELECT requests, fresh, reads, writes, output, tool_chars, schema_chars, failed, " + ", ".join(f"round({c}, 6) AS {c}" for c in _MONEY) + " FROM attr")
+@query(f"WITH {ATTR} SELECT requests, fresh, reads, writes, output, tool_chars, schema_chars, failed, " + ", ".join(f"round({c}, 9) AS {c}" for c in _MONEY) + " FROM attr")
 def agg_attribute(spark, d):
-    return doctor.attribute(_requests(spark, d), PRICES).withColumns({c: F.round(c, 6) for c in _MONEY})
+    return doctor.attribute(_requests(spark, d), PRICES).withColumns({c: F.round(c, 9) for c in _MONEY})
 
 
 @query(f"WITH {MIX} SELECT *, row_number() OVER (ORDER BY usd DESC, model) AS pos FROM mix")
@@ -112,7 +112,7 @@ def agg_compression(spark, d):
 
 
 @query(f"""WITH r AS (SELECT *, {_price_sql('requested_model', 0)} AS ri, {_price_sql('requested_model', 1)} AS ro, {_price_sql('model', 0)} AS si, {_price_sql('model', 1)} AS so FROM v_requests WHERE requested_model IS NOT NULL AND requested_model <> model)
-SELECT count(*) AS routed, round(coalesce(sum({_USD.format('ri', 'ro')} - {_USD.format('si', 'so')}), 0), 6) AS usd_saved, count(*) FILTER (ri IS NULL OR si IS NULL) AS unpriced FROM r""")
+SELECT count(*) AS routed, round(coalesce(sum({_USD.format('ri', 'ro')} - {_USD.format('si', 'so')}), 0), 9) AS usd_saved, count(*) FILTER (ri IS NULL OR si IS NULL) AS unpriced FROM r""")
 def agg_routing(spark, d):
     return doctor.routing_savings(_requests(spark, d), PRICES)
 
