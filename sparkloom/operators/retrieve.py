@@ -15,6 +15,7 @@ from sparkloom.functions import vectors as V
 WEIGHTS = {"symbol": 2.0, "lexical": 1.0, "semantic": 1.0}
 RRF_K, SYMBOL_LIMIT, LEXICAL_LIMIT, SEMANTIC_LIMIT, CANDIDATES = 60, 10, 30, 30, 60
 SEEDS, GRAPH_WEIGHT, GRAPH_TOKENS = 20, 0.7, 6000
+# What an edge makes of a neighbour, by its type and whether the seed is its source.
 REASONS = {
     ("CONTAINS", True): "graph_child", ("CONTAINS", False): "graph_parent", ("CALLS", True): "graph_callee", ("CALLS", False): "graph_caller", ("IMPORTS", True): "graph_import",
     ("IMPORTS", False): "graph_importer", ("INHERITS", True): "graph_base", ("INHERITS", False): "graph_subclass", ("TESTS", True): "graph_tested", ("TESTS", False): "graph_test",
@@ -93,14 +94,19 @@ def graph_reason(kind: Column, outward: Column) -> Column:
     return out
 
 
-def neighbours(fused: DataFrame, edges: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """(query_id, symbol_id, contribution, reasons): for each neighbour of a seed the strongest edge, and all reasons."""
-    s = fused.filter(F.col("pos") <= max(1, seeds)).select("query_id", F.col("symbol_id").alias("seed"), "fused_score")
+def touching(edges: DataFrame) -> DataFrame:
+    """(seed, symbol_id, relationship_type, confidence, reason): each edge from both of its ends; loops and unknown types go."""
     e = edges.filter("target_symbol_id is not null and source_symbol_id != target_symbol_id")
     out = e.select(F.col("source_symbol_id").alias("seed"), F.col("target_symbol_id").alias("symbol_id"), "relationship_type", "confidence", F.lit(True).alias("outward"))
     back = e.select(F.col("target_symbol_id").alias("seed"), F.col("source_symbol_id").alias("symbol_id"), "relationship_type", "confidence", F.lit(False).alias("outward"))
-    both = out.unionByName(back).withColumn("reason", graph_reason(F.col("relationship_type"), F.col("outward"))).filter("reason is not null")
-    return both.join(s, "seed").groupBy("query_id", "symbol_id").agg(F.round(F.max(F.lit(GRAPH_WEIGHT) * F.col("fused_score") * F.col("confidence")), 12).alias("contribution"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return out.unionByName(back).withColumn("reason", graph_reason(F.col("relationship_type"), F.col("outward"))).filter("reason is not null").drop("outward")
+
+
+def neighbours(fused: DataFrame, edges: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """(query_id, symbol_id, contribution, reasons): for each neighbour of a seed the strongest edge, and all reasons."""
+    s = fused.filter(F.col("pos") <= max(1, seeds)).select("query_id", F.col("symbol_id").alias("seed"), "fused_score")
+    near = touching(edges).join(s, "seed").groupBy("query_id", "symbol_id")
+    return near.agg(F.round(F.max(F.lit(GRAPH_WEIGHT) * F.col("fused_score") * F.col("confidence")), 12).alias("contribution"), F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def expand(fused: DataFrame, edges: DataFrame, symbols: DataFrame, *, most: int = SEEDS, tokens: int = GRAPH_TOKENS) -> DataFrame:

@@ -51,7 +51,7 @@ def latest_by(df: DataFrame, key: str, *order) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def query_results(query_id: int, candidates: DataFrame, picked: DataFrame) -> DataFrame:
-    """The rows that record a query's ranking: rank, score, reasons, and whether packing took the symbol."""
+def query_results(ranked: DataFrame, picked: DataFrame) -> DataFrame:
+    """The rows that record rankings: rank, score, reasons, and whether packing took the symbol."""
     took = picked.select("query_id", "symbol_id", F.lit(True).alias("selected"))
-    return candidates.filter(F.col("query_id") == query_id).join(took, ["query_id", "symbol_id"], "left").select("query_id", "symbol_id", "rank", F.col("fused_score").alias("score"), "reasons", F.coalesce("selected", F.lit(False)).alias("selected"))
+    return ranked.join(took, ["query_id", "symbol_id"], "left").select("query_id", "symbol_id", "rank", F.col("fused_score").alias("score"), "reasons", F.coalesce("selected", F.lit(False)).alias("selected"))

@@ -101,11 +101,11 @@ def topk_semantic(spark, d):
     return retrieve.semantic_hits(view(spark, d, "cases"), view(spark, d, "symbols"))
 
 
-@query("""WITH p AS (SELECT q.symbol_id AS query_id, v.symbol_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM v_vectors q JOIN v_vectors v USING (repository_id) WHERE q.symbol_id % 25 = 0)
+@query("""WITH p AS (SELECT q.symbol_id AS query_id, v.symbol_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM v_vectors q JOIN v_vectors v USING (repository_id) WHERE q.symbol_id % 100 = 0)
 SELECT query_id, symbol_id, 'semantic' AS source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id) AS rank FROM p) x WHERE rank <= 30""")
 def join_knn(spark, d):
     v = view(spark, d, "vectors")
-    return retrieve.vector_hits(v.filter("symbol_id % 25 = 0").select(F.col("symbol_id").alias("query_id"), "repository_id", F.col("embedding").alias("vector")), v)
+    return retrieve.vector_hits(v.filter("symbol_id % 100 = 0").select(F.col("symbol_id").alias("query_id"), "repository_id", F.col("embedding").alias("vector")), v)
 
 
 @query(f"WITH {LEX}, {SYM}, {SEM}, {FUSED} SELECT query_id, symbol_id, fused_score, {RESULT}, pos FROM fused")
@@ -222,3 +222,92 @@ def agg_baseline(spark, d):
 SELECT repository_id, CAST(len(xs) AS BIGINT) AS n, xs[1 + least(len(xs) - 1, CAST(floor(0.5::DOUBLE * len(xs)) AS BIGINT))] AS p50_ms, xs[1 + least(len(xs) - 1, CAST(floor(0.95::DOUBLE * len(xs)) AS BIGINT))] AS p95_ms, round(list_avg(xs), 6) AS mean_ms FROM r""")
 def agg_percentile(spark, d):
     return evaluate.latency(view(spark, d, "queries"), "latency_ms", "repository_id")
+
+
+REASON_SQL = "CASE " + " ".join(f"WHEN t = '{k}' AND o = {str(o).upper()} THEN '{n}'" for (k, o), n in retrieve.REASONS.items()) + " END"
+
+
+@query(f"""WITH b AS (SELECT source_symbol_id AS seed, target_symbol_id AS symbol_id, relationship_type AS t, TRUE AS o, confidence FROM v_edges UNION ALL SELECT target_symbol_id, source_symbol_id, relationship_type, FALSE, confidence FROM v_edges)
+SELECT seed, symbol_id, {REASON_SQL} AS reason, confidence FROM b WHERE seed IS NOT NULL AND symbol_id IS NOT NULL AND seed <> symbol_id AND {REASON_SQL} IS NOT NULL""")
+def join_graph(spark, d):
+    return retrieve.touching(view(spark, d, "edges")).select("seed", "symbol_id", "reason", "confidence")
+
+
+@query(f"WITH {LEX}, {SYM}, {SEM} SELECT query_id, symbol_id, source, rank FROM symh UNION ALL SELECT query_id, symbol_id, source, rank FROM lexh UNION ALL SELECT query_id, symbol_id, source, rank FROM semh")
+def rank_source(spark, d):
+    return _hits(spark, d).select("query_id", "symbol_id", "source", "rank")
+
+
+@query(f"WITH {LEX}, {SYM}, {SEM}, {FUSED} SELECT query_id, symbol_id FROM fused WHERE pos <= 20")
+def seeds(spark, d):
+    return retrieve.fuse(_hits(spark, d)).filter(F.col("pos") <= retrieve.SEEDS).select("query_id", "symbol_id")
+
+
+@query(f"WITH {LEX}, {SYM}, {SEM}, {FUSED} SELECT query_id, count(*) AS n, max(pos) AS last FROM fused GROUP BY 1")
+def cap_candidates(spark, d):
+    return retrieve.fuse(_hits(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query(f"WITH RECURSIVE {ALL}, {PACK} SELECT query_id, symbol_id, category FROM cat")
+def categorize(spark, d):
+    g, s = grown(spark, d)
+    return retrieve.load(g, s).select("query_id", "symbol_id", pack.categorize(F.col("reasons"), F.col("changed")).alias("category"))
+
+
+@query(f"WITH RECURSIVE {ALL}, {PACK} SELECT query_id, CAST(sum(tokens) AS BIGINT) AS candidate_tokens FROM cat GROUP BY 1")
+def agg_candidate_tokens(spark, d):
+    g, s = grown(spark, d)
+    return retrieve.load(g, s).groupBy("query_id").agg(F.sum("token_count").alias("candidate_tokens"))
+
+
+@query(f"WITH RECURSIVE {ALL}, {PACK} SELECT g.query_id, g.symbol_id, row_number() OVER (PARTITION BY g.query_id ORDER BY g.fused_score DESC, g.symbol_id) AS rank, g.fused_score AS score, {RESULT}, p.symbol_id IS NOT NULL AS selected FROM grown g LEFT JOIN picked p ON p.query_id = g.query_id AND p.symbol_id = g.symbol_id")
+def sink_query(spark, d):
+    from sparkloom.operators import telemetry
+
+    p, g, _ = picked(spark, d)
+    return telemetry.query_results(retrieve.positions(g).withColumnRenamed("pos", "rank"), p).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""WITH t AS (SELECT item_id, trim(text) AS q, regexp_matches(trim(text), '^[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)*$') AS like_, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x: rtrim(x, '.')) AS ts FROM benchmark),
+u AS (SELECT item_id, list_concat(CASE WHEN like_ THEN [q] ELSE [] END, list_filter(ts, lambda x: x <> q AND (contains(x, '.') OR contains(x, '_') OR (length(x) > 3 AND regexp_matches(x, '^[A-Z]'))))) AS xs FROM t),
+e AS (SELECT item_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS p FROM u), f AS (SELECT item_id, lower(x) AS k, min(p) AS p, arg_min(x, p) AS x FROM e GROUP BY 1, 2)
+SELECT item_id, string_agg(x, ' ' ORDER BY p) AS tokens FROM f GROUP BY 1""")
+def candidate_tokens(spark, d):
+    from sparkloom.functions import text as X
+    from sparkloom.tables import table
+
+    t = table(spark, d, "benchmark").select("item_id", X.candidate_tokens(F.col("text")).alias("xs"))
+    return t.filter(F.size("xs") > 0).select("item_id", F.array_join("xs", " ").alias("tokens"))
+
+
+@query(f"WITH {terms_sql('q', 'SELECT item_id AS k, text AS t FROM benchmark')} SELECT k AS item_id, term FROM qterms")
+def build_tsquery(spark, d):
+    from sparkloom.functions import text as X
+    from sparkloom.tables import table
+
+    return table(spark, d, "benchmark").select("item_id", F.explode(X.tsquery_terms(F.col("text"))).alias("term"))
+
+
+@query(f"WITH {QTERMS}, {STERMS} SELECT DISTINCT c.query_id, s.symbol_id FROM qterms q JOIN v_cases c ON c.query_id = q.k JOIN sterms t ON t.term = q.term JOIN v_symbols s ON s.symbol_id = t.k AND s.repository_id = c.repository_id")
+def fts_match(spark, d):
+    from sparkloom.functions import text as X
+
+    terms = view(spark, d, "cases").select("query_id", "repository_id", F.explode(X.tsquery_terms(F.col("question"))).alias("term"))
+    return retrieve.postings(view(spark, d, "symbols")).join(terms, ["repository_id", "term"]).select("query_id", "symbol_id").distinct()
+
+
+@query("SELECT a.vec_id, round(1.0::DOUBLE - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_distance(spark, d):
+    from sparkloom.functions import vectors as V
+    from sparkloom.tables import table
+
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(nxt, "vec_id").select("vec_id", F.round(F.lit(1.0) - V.cosine(F.col("embedding"), F.col("other")), 6).alias("distance"))
+
+
+@query()
+def fix_context(spark, d):
+    from sparkloom.operators import findings
+
+    return findings.fix_context(view(spark, d, "findings"), view(spark, d, "symbols"), view(spark, d, "edges"))
