@@ -22,16 +22,22 @@ BINARY = (
     "mp3", "mp4", "mov", "avi", "wav", "ogg", "webp", "parquet", "pkl", "pt", "onnx", "npy", "npz", "db", "sqlite",
 )
 SECRET_FILE = r"(^|/)(\.env(\.[a-z]+)?|id_(rsa|dsa|ed25519)|[^/]*\.(pem|key|p12|pfx|keystore)|credentials(\.json)?|\.netrc|\.pgpass)$"
-#: Label -> pattern of what redact() takes out.
+#: Label -> pattern of what redact() takes out. Of an assigned literal the name and the quotes (groups 1 and 2) stay, so that code still parses.
 SECRETS = {
+    "assigned": "(?i)((?:password|passwd|secret|token|api_?key)[ ]*[=:][ ]*[\"'])[^\"'\\n]{6,}([\"'])",
     "aws_key": "AKIA[0-9A-Z]{16}",
     "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "bearer": "[Bb]earer [A-Za-z0-9_.-]{16,}",
-    "assigned": "(?i)(password|passwd|secret|token|api_?key)[ ]*[=:][ ]*[\"'][^\"'\\n]{6,}[\"']",
     "hub_token": "gh[pousr]_[A-Za-z0-9]{30,}",
 }
 
 
+def redacted_as(label: str, mark: str = "$") -> str:
+    """The replacement for what a label's pattern matches, in a dialect whose groups are named by `mark`."""
+    note = f"[REDACTED:{label}]"
+    return f"{mark}1{note}{mark}2" if label == "assigned" else note
+
+
 def extension(path: Column) -> Column:
     """What follows the last dot of the path, in lower case; null without a dot."""
     return F.when(path.contains("."), F.lower(F.substring_index(path, ".", -1)))
@@ -77,7 +83,7 @@ def redact(text: Column) -> tuple[Column, Column, Column]:
     for label, pattern in SECRETS.items():
         count = count + F.regexp_count(out, F.lit(pattern))
         labels.append(F.when(F.regexp_count(out, F.lit(pattern)) > 0, F.lit(label)))
-        out = F.regexp_replace(out, pattern, f"[REDACTED:{label}]")
+        out = F.regexp_replace(out, pattern, redacted_as(label))
     return out, count.cast("long"), F.array_compact(F.array(*labels))
 
 

@@ -111,7 +111,7 @@ def _redact_sql(col: str) -> str:
     for label, p in paths.SECRETS.items():
         q = p.replace("'", "''")
         steps.append(f"len(regexp_extract_all({cur}, '{q}'))")
-        cur = f"regexp_replace({cur}, '{q}', '[REDACTED:{label}]', 'g')"
+        cur = f"regexp_replace({cur}, '{q}', '{paths.redacted_as(label, chr(92))}', 'g')"
     return f"{cur} AS redacted, CAST({' + '.join(steps)} AS BIGINT) AS n_secrets"
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,57 @@ def scan_walk(spark: SparkSession, root: str, *, extra: Sequence[str] = (), all_
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
     at = F.instr(bare, base)
     rel = F.when(at > 0, F.substring(bare, at + len(base), F.length(bare))).otherwise(F.element_at(F.split(bare, "/"), -1))
-    f = f.select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), "content")
+    f = f.select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), "content").filter("size > 0")
+    f = f.unionByName(_passed_over(spark, root))
     return f if all_files else f.filter(paths.should_index(F.col("path"), extra))
 
 
+def _passed_over(spark: SparkSession, root: str) -> DataFrame:
+    """The files that Spark's own listing leaves out: those whose name begins with an underscore, and empty ones.
+
+    Their names are listed on the driver; the tasks read them, by the local file system or by Arrow's.
+    """
+    local = root[5:] if root.startswith("file:") else root if "://" not in root else None
+    names: list[tuple[str, int]] = []
+    if local is not None:
+        for at, dirs, found in os.walk(local):
+            dirs[:] = sorted(d for d in dirs if not d.startswith("."))
+            part = os.path.relpath(at, local)
+            for n in sorted(found):
+                size = os.path.getsize(os.path.join(at, n)) if os.path.exists(os.path.join(at, n)) else None
+                below = "/_" in f"/{part}"
+                if size is not None and not n.startswith(".") and (below or n.startswith("_") or size == 0):
+                    names.append((n if part == "." else f"{part}/{n}", size))
+    else:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        it = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        base = path.toUri().getPath().rstrip("/") + "/"
+        while it.hasNext():
+            s = it.next()
+            rel = s.getPath().toUri().getPath().split(base, 1)[-1]
+            if not any(x.startswith(".") for x in rel.split("/")) and ("/_" in f"/{rel}" or s.getLen() == 0):
+                names.append((rel, s.getLen()))
+    listed = spark.createDataFrame(names, "path string, size long")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths_, sizes = (batch.column(i).to_pylist() for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_bytes(root, local, p) if n else b"" for p, n in zip(paths_, sizes, strict=True)], pa.binary())], ["path", "size", "content"])
+
+    return listed.mapInArrow(read, "path string, size long, content binary")
+
+
+def _bytes(root: str, local: str | None, name: str) -> bytes:
+    if local is not None:
+        with open(os.path.join(local, name), "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    with store.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+        return f.read()
+
+
 def read_text(content: Column) -> Column:
     """The bytes as UTF-8 with replacement characters; null if they are null or look binary."""
     text = F.make_valid_utf8(content.cast("string"))

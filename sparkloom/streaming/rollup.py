@@ -19,7 +19,7 @@ def windowed(events: DataFrame, *, time: str = "ts", key: str = "event_type", va
 def keep_latest(spark: SparkSession, sink: str, schema: str, *keys: str) -> DataFrame:
     """What the sink's batches say last of each key."""
     rows = spark.read.schema(f"{schema}, batch long").parquet(sink)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    rest = [c for c in rows.columns if c not in (*keys, "batch", "part")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
