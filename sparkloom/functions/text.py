@@ -53,8 +53,11 @@ def search_terms(identifiers: pd.Series) -> pd.Series:
     def terms(idents) -> list[str] | None:
         found: dict[str, str] = {}
         for ident in idents if idents is not None else ():
-            for term in (ident, *(p.lower() for p in _CAMEL.findall(ident))):
-                found.setdefault(term.lower(), term)
+            if ident.isalpha() and ident.islower():
+                found.setdefault(ident, ident)
+            else:
+                for term in (ident, *(p.lower() for p in _CAMEL.findall(ident))):
+                    found.setdefault(term.lower(), term)
             if len(found) >= MOST_TERMS:
                 break
         return list(found.values())[:MOST_TERMS]
@@ -63,9 +66,16 @@ def search_terms(identifiers: pd.Series) -> pd.Series:
 
 
 def search_keys(identifiers: Column, limit: int = MOST_TERMS) -> Column:
-    """The search terms in lower case, without looking up the spelling."""
-    flat = F.flatten(F.transform(identifiers, split_identifier))
-    return F.slice(F.array_distinct(F.transform(flat, lambda x: F.lower(x))), 1, limit)
+    """The search terms in lower case, without looking up the spelling.
+
+    Equal identifiers are split once, and those of small letters alone, which are most, not at all.
+    """
+
+    def parts(x):
+        whole = (x != "") & ~x.rlike("[A-Z0-9_]")
+        return F.when(whole, F.array(x)).otherwise(F.transform(split_identifier(x), lambda y: F.lower(y)))
+
+    return F.slice(F.array_distinct(F.flatten(F.transform(F.array_distinct(identifiers), parts))), 1, limit)
 
 
 def query_keys(text: Column, limit: int = MOST_TERMS) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 384
@@ -20,10 +20,14 @@ def buckets(terms: Column, dim: int = DIM) -> Column:
 
 
 def hash_embed(df: DataFrame, terms: Column, *keys: str, dim: int = DIM) -> DataFrame:
-    """(keys, bucket, value): sparse unit vectors of the keys' terms; buckets that sum to zero are left out."""
-    x = df.select(*keys, F.explode(buckets(terms, dim)).alias("x")).groupBy(*keys, F.col("x.b").alias("bucket")).agg(F.sum("x.s").alias("value")).filter("value != 0")
-    norms = x.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return x.join(norms, list(keys)).select(*keys, "bucket", (F.col("value") / F.col("norm")).alias("value"))
+    """(keys, bucket, value): sparse unit vectors of the keys' terms; buckets that sum to zero are left out.
+
+    Rows are dealt out by key once, as lists; the sums by bucket and the norms then need no further shuffle.
+    """
+    x = df.select(*keys, buckets(terms, dim).alias("xs")).repartition(*keys).select(*keys, F.explode("xs").alias("x"))
+    x = x.groupBy(*keys, F.col("x.b").alias("bucket")).agg(F.sum("x.s").alias("value")).filter("value != 0")
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys)))
+    return x.select(*keys, "bucket", (F.col("value") / norm).alias("value"))
 
 
 def dot(a: Column, b: Column) -> Column:

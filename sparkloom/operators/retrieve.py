@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions import vectors as V
+from sparkloom.shared_store import materialize
 
 WEIGHTS = {"symbol": 2.0, "lexical": 1.0, "semantic": 1.0}
 RRF_K, SYMBOL_LIMIT, LEXICAL_LIMIT, SEMANTIC_LIMIT, CANDIDATES = 60, 10, 30, 30, 60
@@ -42,17 +43,26 @@ def symbol_hits(queries: DataFrame, symbols: DataFrame, limit: int = SYMBOL_LIMI
     return best(found, limit, "symbol")
 
 
-def postings(symbols: DataFrame) -> DataFrame:
-    """(repository_id, term, symbol_id, terms): the inverted index; terms is how many the symbol has."""
-    keys = symbols.select("repository_id", "symbol_id", X.query_keys(F.col("source_code")).alias("keys"))
-    return keys.select("repository_id", "symbol_id", F.size("keys").alias("terms"), F.explode("keys").alias("term"))
+def term_lists(symbols: DataFrame) -> DataFrame:
+    """(repository_id, symbol_id, keys): what the lexical and the semantic ranking read of a symbol; worth storing."""
+    return symbols.select("repository_id", "symbol_id", X.query_keys(F.col("source_code")).alias("keys"))
 
 
-def lexical_hits(queries: DataFrame, index: DataFrame, limit: int = LEXICAL_LIMIT) -> DataFrame:
-    """BM25 over the distinct terms of each symbol within its repository."""
-    sizes = index.groupBy("repository_id", "symbol_id").agg(F.first("terms").alias("terms")).groupBy("repository_id").agg(F.count("*").alias("n"), F.avg("terms").alias("mean"))
-    df = index.groupBy("repository_id", "term").agg(F.count("*").alias("df"))
+def postings(lists: DataFrame) -> DataFrame:
+    """(repository_id, term, symbol_id, terms): the inverted index of term_lists(); terms is how many the symbol has."""
+    return lists.select("repository_id", "symbol_id", F.size("keys").alias("terms"), F.explode("keys").alias("term"))
+
+
+def lexical_hits(queries: DataFrame, lists: DataFrame, limit: int = LEXICAL_LIMIT) -> DataFrame:
+    """BM25 over the distinct terms of each symbol within its repository (lists: those of term_lists()).
+
+    Only postings of terms that some query asks for are counted and scored, so the rest is never shuffled where the
+    asked terms are few enough for Spark to broadcast.
+    """
+    sizes = lists.filter(F.size("keys") > 0).groupBy("repository_id").agg(F.count("*").alias("n"), F.avg(F.size("keys")).alias("mean"))
     terms = queries.select("query_id", "repository_id", F.explode(X.tsquery_terms(F.col("question"))).alias("term"))
+    index = postings(lists).join(terms.select("repository_id", "term").distinct(), ["repository_id", "term"])
+    df = index.groupBy("repository_id", "term").agg(F.count("*").alias("df"))
     asked = terms.join(df, ["repository_id", "term"]).join(sizes, "repository_id")
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.select("query_id", "repository_id", "term", idf.alias("idf"), "mean")
@@ -61,11 +71,11 @@ def lexical_hits(queries: DataFrame, index: DataFrame, limit: int = LEXICAL_LIMI
     return best(found, limit, "lexical")
 
 
-def semantic_hits(queries: DataFrame, symbols: DataFrame, limit: int = SEMANTIC_LIMIT) -> DataFrame:
+def semantic_hits(queries: DataFrame, lists: DataFrame, limit: int = SEMANTIC_LIMIT) -> DataFrame:
     """Cosine of hash embeddings, multiplied bucket by bucket; queries without a term find nothing."""
     q = V.hash_embed(queries, X.query_keys(F.col("question")), "query_id", "repository_id").withColumnRenamed("value", "qv")
-    s = V.hash_embed(symbols, X.query_keys(F.col("source_code")), "symbol_id", "repository_id")
-    found = s.join(q, ["repository_id", "bucket"]).groupBy("query_id", "symbol_id").agg(F.round(F.sum(F.col("value") * F.col("qv")), 6).alias("score"))
+    s = V.hash_embed(lists, F.col("keys"), "symbol_id", "repository_id")
+    found = s.join(q, ["repository_id", "bucket"]).groupBy("query_id", "symbol_id").agg((F.round(F.sum(F.col("value") * F.col("qv")), 6) + F.lit(0.0)).alias("score"))  # no -0.0
     return best(found, limit, "semantic")
 
 
@@ -144,10 +154,11 @@ def rerank(candidates: DataFrame, queries: DataFrame, symbols: DataFrame) -> Dat
 
 def hybrid(queries: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, *, semantic: bool = True, reranked: bool = False, top_n: int | None = None) -> DataFrame:
     """(query_id, symbol_id, fused_score, reasons, rank[, rerank_score]): all retrievers fused, expanded, reranked, cut."""
-    hits = symbol_hits(queries, symbols).unionByName(lexical_hits(queries, postings(symbols)))
+    lists = materialize(term_lists(symbols), "terms")
+    hits = symbol_hits(queries, symbols).unionByName(lexical_hits(queries, lists))
     if semantic:
-        hits = hits.unionByName(semantic_hits(queries, symbols))
-    fused = fuse(hits)
+        hits = hits.unionByName(semantic_hits(queries, lists))
+    fused = materialize(fuse(hits), "fused")  # the expansion reads it four times
     out = expand(fused, edges, symbols) if edges is not None else fused.drop("pos")
     if reranked:
         out = rerank(out, queries, symbols)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import evaluate, pack, retrieve
 from sparkloom.plans.registry import query
 from sparkloom.plans.views import view
+from sparkloom.shared_store import materialize
 
 RAW = "regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*')"
 CAMEL = "list_transform(regexp_extract_all(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+'), lambda y: lower(y))"
@@ -35,7 +36,7 @@ lexh AS (SELECT query_id, symbol_id, 'lexical' AS source, score, rank FROM (SELE
 _HASH = "SELECT k, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 384 AS bucket, sum(CASE WHEN CAST('0x' || substr(md5(term), 10, 1) AS BIGINT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM {0} GROUP BY 1, 2"
 SEM = f"""
 qv AS (SELECT k, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS v FROM ({_HASH.format('qterms')}) x WHERE v <> 0), sv AS (SELECT k, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS v FROM ({_HASH.format('sterms')}) x WHERE v <> 0),
-semr AS (SELECT c.query_id, s.symbol_id, round(sum(qv.v * sv.v), 6) AS score FROM qv JOIN v_cases c ON c.query_id = qv.k JOIN v_symbols s ON s.repository_id = c.repository_id JOIN sv ON sv.k = s.symbol_id AND sv.bucket = qv.bucket GROUP BY 1, 2),
+semr AS (SELECT c.query_id, s.symbol_id, round(sum(qv.v * sv.v), 6) + 0.0::DOUBLE AS score FROM qv JOIN v_cases c ON c.query_id = qv.k JOIN v_symbols s ON s.repository_id = c.repository_id JOIN sv ON sv.k = s.symbol_id AND sv.bucket = qv.bucket GROUP BY 1, 2),
 semh AS (SELECT query_id, symbol_id, 'semantic' AS source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id) AS rank FROM semr) x WHERE rank <= 30)"""
 FUSED = """
 hits AS (SELECT * FROM symh UNION ALL SELECT * FROM lexh UNION ALL SELECT * FROM semh),
@@ -65,22 +66,22 @@ picked AS (SELECT o.query_id, row_number() OVER (PARTITION BY o.query_id ORDER B
 RESULT = "array_to_string(reasons, ',') AS reasons"
 
 
+def _lists(spark, d):
+    return materialize(retrieve.term_lists(view(spark, d, "symbols")), "terms")
+
+
 def _hits(spark, d):
-    q, s = view(spark, d, "cases"), view(spark, d, "symbols")
-    return retrieve.symbol_hits(q, s).unionByName(retrieve.lexical_hits(q, retrieve.postings(s))).unionByName(retrieve.semantic_hits(q, s))
+    q, s, lists = view(spark, d, "cases"), view(spark, d, "symbols"), _lists(spark, d)
+    return retrieve.symbol_hits(q, s).unionByName(retrieve.lexical_hits(q, lists)).unionByName(retrieve.semantic_hits(q, lists))
 
 
 def grown(spark, d):
-    from sparkloom.shared_store import materialize
-
     s = view(spark, d, "symbols")
     fused = materialize(retrieve.fuse(_hits(spark, d)), "fused")
     return retrieve.expand(fused, view(spark, d, "edges"), s), s
 
 
 def picked(spark, d):
-    from sparkloom.shared_store import materialize
-
     g, s = grown(spark, d)
     g = materialize(g, "grown")
     return pack.pack_context(retrieve.load(g, s)), g, s
@@ -93,12 +94,12 @@ def topk_symbol(spark, d):
 
 @query(f"WITH {LEX} SELECT * FROM lexh")
 def topk_lexical(spark, d):
-    return retrieve.lexical_hits(view(spark, d, "cases"), retrieve.postings(view(spark, d, "symbols")))
+    return retrieve.lexical_hits(view(spark, d, "cases"), _lists(spark, d))
 
 
 @query(f"WITH {LEX}, {SEM} SELECT * FROM semh")
 def topk_semantic(spark, d):
-    return retrieve.semantic_hits(view(spark, d, "cases"), view(spark, d, "symbols"))
+    return retrieve.semantic_hits(view(spark, d, "cases"), _lists(spark, d))
 
 
 @query("""WITH p AS (SELECT q.symbol_id AS query_id, v.symbol_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM v_vectors q JOIN v_vectors v USING (repository_id) WHERE q.symbol_id % 100 = 0)
@@ -115,7 +116,7 @@ def rrf(spark, d):
 
 @query(f"WITH {LEX}, {SYM}, {SEM}, {FUSED}, {GRAPH} SELECT query_id, symbol_id, contribution, {RESULT} FROM near")
 def agg_graph_max(spark, d):
-    return retrieve.neighbours(retrieve.fuse(_hits(spark, d)), view(spark, d, "edges")).withColumn("reasons", F.array_join("reasons", ","))
+    return retrieve.neighbours(materialize(retrieve.fuse(_hits(spark, d)), "fused"), view(spark, d, "edges")).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"WITH RECURSIVE {ALL} SELECT query_id, symbol_id, fused_score, {RESULT} FROM grown")
@@ -293,7 +294,7 @@ def fts_match(spark, d):
     from sparkloom.functions import text as X
 
     terms = view(spark, d, "cases").select("query_id", "repository_id", F.explode(X.tsquery_terms(F.col("question"))).alias("term"))
-    return retrieve.postings(view(spark, d, "symbols")).join(terms, ["repository_id", "term"]).select("query_id", "symbol_id").distinct()
+    return retrieve.postings(retrieve.term_lists(view(spark, d, "symbols"))).join(terms, ["repository_id", "term"]).select("query_id", "symbol_id").distinct()
 
 
 @query("SELECT a.vec_id, round(1.0::DOUBLE - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -47,7 +47,7 @@ def split_identifier(spark, d):
 @query(f"""WITH src AS (SELECT doc_id AS k, {RAW.format('text')} AS ids FROM documents), {TERMS}
 SELECT k AS doc_id, string_agg(term, ' ' ORDER BY spot) AS terms, count(*) AS n_terms FROM terms GROUP BY k""")
 def build_search_terms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.search_terms(text.raw_identifiers(F.col("text"))).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", text.search_terms(F.array_distinct(text.raw_identifiers(F.col("text")))).alias("t"))
     return docs.filter(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").cast("long").alias("n_terms"))
 
 
