@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.shared_store import materialize
+
 READ_RATE, WRITE_RATE, CHARS = 0.10, 1.25, 4.0
 # List prices in dollars a million tokens, in and out; the longest prefix of a model's name counts.
 PRICES: dict[str, tuple[float, float]] = {
@@ -94,14 +96,18 @@ def routing_savings(requests: DataFrame, prices=None) -> DataFrame:
 def growth(requests: DataFrame, *order: str, least: int = 8) -> DataFrame:
     """One row: the mean total input of the first and last quarter in time, null under eight requests.
 
-    Places come from range-partitioned counts, not from one sorted task: only the boundary's keys are compared.
+    Rows are range-partitioned by time, so that a row's place is that in its partition and the counts of those before:
+    no task and no driver holds a quarter of all. The partitions are stored once, as their borders come from a sample.
     """
-    r = requests.select(F.struct(*order).alias("o"), (_n("input_tokens") + _n("cached_input_tokens")).alias("x"))
-    n = r.count()
-    q = max(1, n // 4)
-    first = r.orderBy("o").limit(q).agg(F.avg("x").alias("early"))
-    last = r.orderBy(F.desc("o")).limit(q).agg(F.avg("x").alias("late"))
-    return first.crossJoin(last).select(F.lit(n).cast("long").alias("n"), F.when(F.lit(n >= least), F.round("early", 6)).alias("early"), F.when(F.lit(n >= least), F.round("late", 6)).alias("late"))
+    r = requests.select(F.struct(*order).alias("o"), (_n("input_tokens") + _n("cached_input_tokens")).alias("x")).repartitionByRange("o")
+    r = materialize(r.withColumn("p", F.spark_partition_id()), "places")
+    per = r.groupBy("p").agg(F.count("*").alias("c"))
+    before = per.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
+    i = F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("o"))
+    at = r.join(before, "p").withColumn("i", i).withColumn("q", F.greatest(F.lit(1), F.floor(F.col("n") / 4)))
+    enough = F.count("*") >= least
+    mean = lambda when: F.when(enough, F.round(F.avg(F.when(when, F.col("x"))), 6))
+    return at.agg(F.count("*").alias("n"), mean(F.col("i") <= F.col("q")).alias("early"), mean(F.col("i") > F.col("n") - F.col("q")).alias("late"))
 
 
 def diagnose(requests: DataFrame, retrieval_queries: int | Column, *order: str, prices=None, fallback=FALLBACK) -> DataFrame:

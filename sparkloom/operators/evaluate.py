@@ -10,9 +10,23 @@ from sparkloom.functions.text import suffix_match
 KS = (1, 3, 5, 10)
 
 
+WORD = r"[\p{L}\p{N}_]+"
+
+
 def expected_by_text(cases: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(query_id, expected): the symbols whose code holds a case's text; the cases are a short hand-made list."""
-    return symbols.select("qualified_name", "source_code").join(F.broadcast(cases.select("query_id", "question")), F.col("source_code").contains(F.col("question"))).select("query_id", F.col("qualified_name").alias("expected"))
+    """(query_id, expected): the symbols whose code holds a case's text.
+
+    A word within the text, not at its ends, is a word of any code that holds it, so the two meet by the longest such
+    word and only then is the text looked for. Cases of under three words have none and are looked for in all code.
+    """
+    words = F.regexp_extract_all(F.col("question"), F.lit(WORD), F.lit(0))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    c = cases.select("query_id", "question", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("probe"))
+    s = symbols.select("qualified_name", "source_code")
+    each = s.select("qualified_name", "source_code", F.explode(F.array_distinct(F.regexp_extract_all("source_code", F.lit(WORD), F.lit(0)))).alias("probe"))
+    long = each.join(c.filter("probe is not null"), "probe").filter(F.col("source_code").contains(F.col("question")))
+    short = s.join(c.filter("probe is null and question is not null"), F.col("source_code").contains(F.col("question")))
+    return long.select("query_id", F.col("qualified_name").alias("expected")).unionByName(short.select("query_id", F.col("qualified_name").alias("expected")))
 
 
 def first_hit_rank(cases: DataFrame, ranked: DataFrame, expected: DataFrame) -> DataFrame:
