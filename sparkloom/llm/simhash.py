@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
@@ -17,7 +17,7 @@ from sparkloom.shared_store import materialize
 BLOCK = 16
 #: Pairs of trie nodes that one step of the traversal holds.
 FRONT = 200_000
-#: Fingerprints that one task takes from one bucket; a larger bucket becomes a grid of tasks.
+#: Fingerprints that one task takes from one bucket; a larger bucket is parted by more bits, and then becomes a grid of tasks.
 CHUNK = 8192
 SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -169,20 +169,37 @@ def _link(budget: int):
     return run
 
 
+def _cut_bits(value: str, bits: int) -> Column:
+    """Structs (i, v, rest): each of four blocks of `bits` bits of a column, and the other bits moved together."""
+    mask, parts = (1 << bits) - 1, []
+    for i in range(4):
+        high = f"shiftrightunsigned({value}, {bits * (i + 1)})" if bits * (i + 1) < 64 else "0L"
+        low = f"({value} & {(1 << bits * i) - 1}L)" if i else "0L"
+        parts.append(f"struct({i} AS i, shiftrightunsigned({value}, {bits * i}) & {mask}L AS v, (shiftleft({high}, {bits * i}) | {low}) AS rest)")
+    return F.expr(f"array({', '.join(parts)})")
+
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("bucket").count().filter("count > 1")
+
+
 def near_pairs(prints: DataFrame, *, budget: int = 3) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp, each once) that differ in `budget` (3 or fewer) bits.
 
     They connect what all such links connect, with fewer than as many links as fingerprints in each bucket. Two such
-    fingerprints share one of four blocks of 16 bits whole, so each goes to four buckets by block and value. A bucket of over CHUNK
-    fingerprints is dealt into parts, and each two parts are a cell: no task holds more than two of them.
+    fingerprints share one of four blocks of 16 bits whole, so each goes to four buckets by block and value. In a bucket of
+    over CHUNK fingerprints they share one of four blocks of 12 of the other 48 bits as well, and it becomes buckets by those; one that
+    still has more is dealt into parts, and each two parts are a cell: no task holds more than two of them.
     """
     if not 0 <= budget <= 3:
         raise ValueError("four blocks find 3 differing bits at most")
-    blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", BLOCK * i).bitwiseAND(F.lit(65535)).alias("v")) for i in range(4))))
-    keyed = prints.select("fp", blocks.alias("k")).select("fp", (F.col("k.i") * 65536 + F.col("k.v")).alias("bucket"))
-    sizes = keyed.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    keyed = keyed.join(sizes, "bucket").withColumn("part", part)
+    keyed = prints.select("fp", F.explode(_cut_bits("fp", BLOCK)).alias("k")).select("fp", (F.col("k.i") * 65536 + F.col("k.v")).alias("bucket"), "k.rest")
+    sizes = materialize(_sized(keyed), "buckets")
+    small = keyed.join(sizes.filter(F.col("count") <= CHUNK), "bucket").select("fp", "bucket", F.lit(1).alias("parts"))
+    large = keyed.join(sizes.filter(F.col("count") > CHUNK), "bucket").select("fp", "bucket", F.explode(_cut_bits("rest", BLOCK * 3 // 4)).alias("k"))
+    large = large.select("fp", F.xxhash64("bucket", "k.i", "k.v").alias("bucket"))
+    large = large.join(_sized(large), "bucket").select("fp", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
+    keyed = small.unionByName(large).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # Cells of a bucket: (i, i) and, with more parts, (i, j); in the latter only links across come out.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     keyed = keyed.select("fp", "bucket", "part", other.alias("with"))

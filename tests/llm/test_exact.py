@@ -40,7 +40,7 @@ def table(spark, rows, schema=DOCS, extra=True):
 
 def test_components(spark):
     r = random.Random(1)
-    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, i) for i in range(2001, 2100)] + [(None, 5), (7, None), (9, 9)]
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, i) for i in range(2001, 2100)] + [(None, 5), (7, None), (9, 9)]
     got = {tuple(x) for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     u = brute.Union()
     for a, b in edges:
@@ -252,12 +252,15 @@ def test_simhash(spark):
     assert simhash.keep_first(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(rows)
 
 
-@pytest.mark.parametrize("chunk", [8192, 5])
+@pytest.mark.parametrize("chunk", [8192, 20, 3])
 def test_hamming_links_join_what_they_should(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(25)]
-    prints = {b for b in base} | {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(4)} | {0xFFFF << 48 | r.getrandbits(6) for _ in range(40)} | {0, 7, 2**64 - 1}
+    hot = 0xABCD << 48  # one value of a block, as of a bucket with a third of all
+    prints = {hot | r.getrandbits(48) for _ in range(60)}
+    prints |= {p ^ (1 << r.randrange(48)) ^ (1 << r.randrange(48)) ^ (1 << r.randrange(48)) for p in sorted(prints)[:40]}
+    prints |= {b for b in base} | {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(4)} | {0xFFFF << 48 | r.getrandbits(6) for _ in range(40)} | {0, 7, 2**64 - 1}
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     links = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
     got, want = brute.Union(), brute.Union()
