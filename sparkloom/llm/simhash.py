@@ -196,7 +196,9 @@ def near_pairs(prints: DataFrame, *, budget: int = 3) -> DataFrame:
     keyed = prints.select("fp", F.explode(_cut_bits("fp", BLOCK)).alias("k")).select("fp", (F.col("k.i") * 65536 + F.col("k.v")).alias("bucket"), "k.rest")
     sizes = materialize(_sized(keyed), "buckets")
     small = keyed.join(sizes.filter(F.col("count") <= CHUNK), "bucket").select("fp", "bucket", F.lit(1).alias("parts"))
-    large = keyed.join(sizes.filter(F.col("count") > CHUNK), "bucket").select("fp", "bucket", F.explode(_cut_bits("rest", BLOCK * 3 // 4)).alias("k"))
+    # Few buckets are large, or none; stored, they are known to be, and the rest isn't shuffled for them.
+    hot = materialize(sizes.filter(F.col("count") > CHUNK), "hot-buckets")
+    large = keyed.join(hot, "bucket").select("fp", "bucket", F.explode(_cut_bits("rest", BLOCK * 3 // 4)).alias("k"))
     large = large.select("fp", F.xxhash64("bucket", "k.i", "k.v").alias("bucket"))
     large = large.join(_sized(large), "bucket").select("fp", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
     keyed = small.unionByName(large).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
