@@ -27,6 +27,8 @@ _BSD_2 = "2. Redistributions in binary form must reproduce the above copyright n
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
+_UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+
 #: id -> texts. Public licence texts, with and without their title line, and the notices that stand for a licence.
 KNOWN: dict[str, list[str]] = {
     "MIT": [f"{t}{_MIT_GRANT}\n\n{_MIT_REST}" for t in ("", "MIT License\n\n", "The MIT License (MIT)\n\n", "The MIT License\n\n")] + ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
@@ -37,6 +39,26 @@ KNOWN: dict[str, list[str]] = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "SPDX-License-Identifier: Apache-2.0"],
     "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "Unlicense": [_UNLICENSE, f"{_UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org/>"],
+}
+
+#: id -> digests of canonical whole texts that are too long to stand here: each as Debian's common-licenses have it, whole and up to the end of its
+#: terms (with and without the line that says so), wrapped and with one line a paragraph, as canonical() leaves out lines that begin with "copyright".
+WHOLE: dict[str, list[str]] = {
+    "Apache-2.0": ["dee68ee5bf5903435de23bb0b8a44899", "562bc2cd56b7e07fa36fb4a669d8f486", "443403994f45ef38b8b84229f2a31988", "f4f21e9b4c402132af0cd87d02a53997", "1d43de3099603a1bc1c294dab77b15a0", "70127cbaa8879964b98d2a39f780d9b9"],
+    "Artistic-1.0-Perl": ["45fa04f9320316bd92b8b00557ff8d94", "55f5c74896a493fd643a3ce0663343b4"],
+    "BSD-3-Clause": ["05b4af2b49657d19426afd611775d4a6", "7a32b1b23a108712414cbd1caed17ece"],
+    "CC0-1.0": ["95da50da151b848c4af0558455fb385f"],
+    "GFDL-1.2-only": ["ee97be9c67cc6b4ce7872fede8b4e179", "d1884aaca2788f80eb1f69f87cc37be2"],
+    "GFDL-1.3-only": ["69a538cf66fc20fea41deab9bd1fed41", "efea08ab9955d957c0457cbd138b20de"],
+    "GPL-1.0-only": ["5afebdc772d1a4897313d51b86b474d5", "8ab9d42928996b1f1a379537a5f407c0", "dcc5da165bda25b48820815334725029", "a04ee6783405a2998570e8d8e97c5a83", "ec40e13b33cda1a28caa397bb5bb6f8e", "8a5cf4f72f7d6aa423c521099568b5e1"],
+    "GPL-2.0-only": ["ccb7dedd6624f1d895ab7453fbe4aaea", "e2aa6e17bd4a6e45d74e22130c89bc6e", "24207a7ebcdc202198e09d191f996a63", "85ed8adaa5022270b825c4dea5bded94", "571abb18980e6ef48c5327e4ec7f2882", "6ba32878b253b9b805f1dd3c47f2cad4"],
+    "GPL-3.0-only": ["6de8de04d20a919c46d0995892b18dca", "44b64a464efd992182592aaaea02432f", "4e1f71a12a079eee11c8c4f057a01e92", "fd52f482b19b00e80f67ef8f613903da", "3bb9550d325b9450b5b8c1ded77b14f9", "d48bcd838a7239ce34a3317dd262b868"],
+    "LGPL-2.0-only": ["0d2ae83cbdee9dee117f761c05148efe", "71bef30846997ff3c28267696e98f0f0", "c9371ab480af6fd8c5645249493ac478", "b43ec091c531641baa5fe0fb87aef49a", "a43e9a9473ca9db80bfabe69eed7d32c", "b524f5a7213e4cdd319531990053b7cf"],
+    "LGPL-2.1-only": ["aabd057f63495a5e1ccc08612cb66b8a", "383a064ee49fdcf9bb5a54c6ae3b296f", "ed8d3337088f052d3f2fe19d7cd871c8", "afcd98be6452d058f97b5d318d4a6d65", "4cbb83bc16d5a87cba0dda8514225ea1", "56161cc2f828e43eb056671a0f9d95d7"],
+    "LGPL-3.0-only": ["281a41d72608f10f9238d3968ad22076", "5b7b90275b6aab98eb1a8179c516d137"],
+    "MPL-1.1": ["93c9ac3b0a7af86fc7ee43c755f0f2ea", "617340b6db60309b16175fb70736d473"],
+    "MPL-2.0": ["7a2c077d02b30d8f3a708df33bbca29a", "82869dde75d8e3961bed010e2e726ed5"],
 }
 
 
@@ -59,9 +81,9 @@ def canonical_py(text: str) -> str:
     return out
 
 
-def digests(known: dict[str, list[str]] = KNOWN) -> list[tuple[str, str]]:
-    """(digest, licence id) of each known text; of two ids with one text the smaller stays."""
-    found: dict[str, str] = {}
+def digests(known: dict[str, list[str]] = KNOWN, whole: dict[str, list[str]] = WHOLE) -> list[tuple[str, str]]:
+    """(digest, licence id) of each known text; of two ids with one text the smaller stays, and a text goes before a digest."""
+    found = {d: name for name, ds in sorted(whole.items(), reverse=True) for d in ds}
     for name, texts in sorted(known.items(), reverse=True):
         found |= {hashlib.md5(canonical_py(t).encode()).hexdigest(): name for t in texts}
     return sorted(found.items())

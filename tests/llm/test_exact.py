@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -184,6 +185,24 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+WHOLE_TEXTS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_whole_license_texts(spark):
+    texts = {name: (Path("/usr/share/common-licenses") / name).read_text() for name in WHOLE_TEXTS}
+    terms = {name: t[: t.index("END OF TERMS AND CONDITIONS")] for name, t in texts.items() if "END OF TERMS AND CONDITIONS\n" in t}
+    assert len(terms) >= 5
+    rows = [(name, t, WHOLE_TEXTS[name]) for name, t in texts.items()] + [(f"{name}, terms", t, WHOLE_TEXTS[name]) for name, t in terms.items()]
+    rows += [(f"{name}, unwrapped", re.sub(r"[ \t]*\n[ \t]*(?=\S)", " ", t), WHOLE_TEXTS[name]) for name, t in texts.items()]
+    rows += [("Unlicense", licenses.KNOWN["Unlicense"][1].upper().replace("\n\n", "\n\n\n# "), "Unlicense")]
+    rows += [(f"{name}, more", f"{t} extra", None) for name, t in texts.items()]
+    docs = spark.createDataFrame([(*r[:2], "d", "l") for r in rows], "doc_id string, text string, digest string, license string")
+    assert {(x["doc_id"], x["license"]) for x in licenses.scan_licenses(docs).collect()} == {(name, want) for name, _, want in rows}
+
+
 def test_leaks(spark):
     r = random.Random(6)
     pool = [f"w{i}" for i in range(400)]
