@@ -15,6 +15,10 @@ CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'>\s]+)"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'>\s]+)"""
+AMP = "(?i)&(amp|#38|#x26);"
+WITH_HOST = "^[A-Za-z][A-Za-z0-9+.-]*://"
+#: A scheme without host, or a place on the page itself.
+NO_LINK = "^([A-Za-z][A-Za-z0-9+.-]*:|#)"
 
 #: (verdict, rule): the rule's host is what stands before its first slash.
 Rules = Sequence[tuple[str, str]]
@@ -52,12 +56,30 @@ def rule_of(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule, verdict)
 
 
+def _relative(to: Column, base: Column) -> Column:
+    """Path and query of a link without leading slash, taken on from the path of the page it is on; . and .. are steps."""
+    merged = F.concat(F.regexp_extract(base, r"(?s)^.*/", 0), F.regexp_extract(to, r"^[^?#]*", 0))
+    steps = F.split(F.regexp_replace(merged, "^/", ""), "/", -1)
+    none = F.array().cast("array<string>")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    done = F.aggregate(steps, none, lambda d, x: F.when(x == "..", up(d)).when(x == ".", d).otherwise(F.concat(d, F.array(x))))
+    end = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit(""))
+    path = F.when(F.substring(to, 1, 1).isin("?", "#"), base).otherwise(F.concat(F.lit("/"), F.array_join(done, "/"), end))
+    return F.concat(path, F.regexp_extract(to, r"^[^?#]*(.*)$", 1))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes joined by a canonical link or a refresh; links that name no host are taken on the page's own."""
+    """(a, b): nodes joined by a canonical link or a refresh; links that name no host are taken on the page's own, those
+    without leading slash from the page's path. &amp; in a link is &; links of schemes without // and bare fragments lead nowhere."""
 
     steps = pages.select(F.col(url).alias("u"), F.array(*(F.regexp_extract(F.regexp_extract(F.col(html), t, 0), a, 1) for t, a in ((CANONICAL, HREF), (REFRESH, TARGET)))).alias("to"))
     steps = steps.select("u", F.explode("to").alias("to")).filter("to != ''").withColumn("host", host_of(F.col("u")))
-    whole = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), "host", "to"))
+    steps = steps.withColumn("to", F.regexp_replace("to", AMP, "&"))
+    site = F.concat(F.lit("http://"), "host")
+    whole = F.when(F.col("to").rlike(WITH_HOST), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(site, "to"))
+    base = path_of(F.col("u"))
+    base = F.when(base == "", F.lit("/")).otherwise(base)
+    whole = whole.when(~F.col("to").rlike(NO_LINK), F.concat(site, _relative(F.col("to"), base)))
     steps = steps.withColumn("to", whole).filter("to is not null").distinct()
     return steps.select(node_of(F.col("u")).alias("a"), node_of(F.col("to")).alias("b")).filter("a is not null and b is not null and a != b")
 

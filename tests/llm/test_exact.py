@@ -3,7 +3,9 @@
 import random
 import re
 import zlib
+from html import unescape
 from pathlib import Path
+from urllib.parse import urljoin, urlsplit
 
 import brute
 import numpy as np
@@ -103,6 +105,18 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_urls_of_relative_links(spark):
+    urls = ["http://A.com/en/1.html", "http://a.com", "http://a.com/", "https://a.com/x/y/?p=/q/r", "http://a.com/x/y#z/w"]
+    links = ["7.html", "?id=7", "?id=7&amp;b=1", "../x", "../../x", "./x", ".", "..", "../", "a/./b/../c", "d/..", "7?next=http://b.org/", "/r?a=1&#38;b=2", "http://b.org/?a&amp;b", "//b.org/s", "mailto:x@y.z", "#top", "x#y"]
+    rows = [(u, f'<link rel="canonical" href="{t}">') for u in urls for t in links] + [(u, f'<meta http-equiv="refresh" content="0; url={t}">') for u in urls for t in links[:4]] + [(None, "<link rel=canonical href=x>")]
+    node = lambda u: (lambda p: p.netloc.lower() + (p.path + (f"?{p.query}" if p.query else "") or "/"))(urlsplit(u))
+    want = {(node(u), node(urljoin(u if urlsplit(u).path else f"{u}/", unescape(t)))) for u in urls for t in links if not t.startswith(("mailto:", "#"))}
+    got = url_filter.alias_edges(spark.createDataFrame(rows, "url string, html string"))
+    assert {tuple(x) for x in got.collect()} == {(a, b) for a, b in want if a != b}
+    pages = spark.createDataFrame([(1, "http://b.com/x/1", '<link rel="canonical" href="../en/2">'), (2, "http://c.com/en/2", '<link rel=canonical href="http://b.com/x/1">')], "page_id long, url string, html string")
+    assert {(x["page_id"], x["verdict"]) for x in url_filter.judge_urls(pages, [("block", "b.com/en/")]).collect()} == {(1, "block"), (2, "block")}
+
+
 @pytest.mark.parametrize("dims,spread", [(3, 1.0), (16, 0.2), (64, 1.0)])
 def test_topk(spark, dims, spread):
     rng = np.random.default_rng(dims)
