@@ -4,25 +4,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-#: Items of fewer words take no part: a chance repetition can't be told from a leak.
-LEAST_WORDS = 5
-#: Share of coordinates in which the embeddings of an item and of a window at the edit limit agree at least, coordinates
-#: that a table samples, and the chance that some table finds such a window. The tables' number follows.
-AGREE, SAMPLED, RECALL = 0.25, 2, 0.99
-WALKS = 4
-#: Of the benchmark, so much text (and so many words, for a gram of four to fit 64 bits) makes one index, which is broadcast; more text makes more of them.
-SLICE_CHARS, SLICE_WORDS, SLICE_CELLS = 8_000_000, 60_000, 2_000_000
-PADS = ("‘", "’", "“", "”", "«", "»", "—", "–", "…", "¿", "¡", " ")
+#: Longest window. A longer item is cut into pieces of this many words, each looked up like an item of its own: of pieces that
+#: share floor((1 - similarity) * n) edits, one has its share of them or fewer.
+WINDOW = 16
+#: Walks of the embedding, tables that sample coordinates of each walk, and coordinates of a table. Chosen by the recall that
+#: the tests measure at the edit limit (brute force over all stretches of words).
+WALKS, TABLES, SAMPLED = 8, 3, 3
+#: Sizes of windows that share their tables: from each number up to the next. Coordinates are drawn from twice the least size.
+CLASSES = (1, 2, 3, 4, 5, 8, 12, WINDOW)
+#: An index takes so many words and distinct words of the benchmark, about 60 MB; a pass over the documents takes so many indexes.
+SLICE_WORDS, SLICE_DISTINCT, SLICES = 1_000_000, 300_000, 4
+#: Windows that are walked at a time, and cells of edit tables that are filled at a time.
+CHUNK, CELLS = 16_384, 1_000_000
+PADS = ("‘", "’", "“", "”", "«", "»", "—", "–", "…", "¿", "¡", " ")
 _SIGNS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -40,122 +45,156 @@ def allowed(n: int, similarity: float) -> int:
     return int(math.floor(n * (1 - similarity) + 1e-9))
 
 
-@dataclass
-class Index:
-    """A slice of the benchmark as every executor holds it."""
+class Walks:
+    """The embedding of windows that begin at given places of a sequence of word ids.
+
+    CGK writes the word under a pointer at each step and lets a random bit of (walk, step, word) move the pointer on; the bits
+    are those of a word's XXH32 under the walk's seed. A walk doesn't depend on the window's size, so that all sizes share it.
+    """
+
+    def __init__(self, bits: np.ndarray, ids: np.ndarray):
+        self.bits, self.ids = bits, ids
+
+    def coordinates(self, walk: int, places: np.ndarray, steps: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(step, place under the pointer) at each of the ascending steps."""
+        masks, p = self.bits[walk][self.ids], places.astype(np.int64)
+        want, last = set(steps), max(steps, default=-1)
+        for j in range(last + 1):
+            if j in want:
+                yield j, p.copy()
+            if j < last:
+                move = masks.take(p, mode="clip")
+                move >>= np.uint32(j)
+                move &= np.uint32(1)
+                np.add(p, move, out=p, casting="unsafe")
+
+
+def _key(parts: list[np.ndarray], salt: int) -> np.ndarray:
+    """64 bits of the words at a table's coordinates."""
+    h = np.full(len(parts[0]), salt + 1, np.uint64)
+    for x in parts:
+        h += x
+        h *= _MIX[0]
+        h ^= h >> np.uint64(29)
+    h *= _MIX[1]
+    return h
+
 
-    items: list[tuple[int, list[bytes]]]
-    similarity: float = SIMILARITY
-    seed: int = 7
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
+class Index:
+    """A slice of the benchmark as every executor holds it: hash tables over sampled coordinates of the embedded items."""
 
-    def __post_init__(self):
-        for _, ws in self.items:
+    def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float = SIMILARITY, seed: int = 7):
+        self.keys = [k for k, _ in items]
+        self.vocabulary: dict[bytes, int] = {}
+        for _, ws in items:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.sizes = np.array([len(ws) for _, ws in self.items], np.int64)
-        self.edits = np.array([allowed(n, self.similarity) for n in self.sizes], np.int64)
-        self.longest = int(self.sizes.max(initial=1))
-        self.codes = np.full((len(self.items), self.longest), -1, np.int64)
-        for i, (_, ws) in enumerate(self.items):
-            self.codes[i, : len(ws)] = [self.vocabulary[w] for w in ws]
-        rng = np.random.default_rng(self.seed)
-        self.steps = rng.integers(0, 2, (WALKS, 3 * self.longest, 4096), dtype=np.int64)
-        tables = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
-        self.tables = [(t % WALKS, rng.random(SAMPLED)) for t in range(tables)]
-        self.marks = [self.embed(self.codes, w) for w in range(WALKS)]
-        # An item with e edits keeps a run of ceil((n - e) / (e + 1)) words: a window without such a run of it can't be near.
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        runs = np.minimum(4, -(-(self.sizes - self.edits) // (self.edits + 1)))
-        for q in np.unique(runs):
-            rows = [(self._code(self.codes[i, o : o + q]), i, o) for i in np.flatnonzero(runs == q) for o in range(self.sizes[i] - q + 1)]
-            rows.sort()
-            keys, first, count = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True, return_counts=True)
-            self.grams[int(q)] = (keys, first, count, np.array([r[1:] for r in rows], np.int64).reshape(-1, 2))
-
-    @staticmethod
-    def _code(ids: np.ndarray) -> int:
-        out = 0
-        for i in ids.tolist():
-            out = ((out << 16) | i) & (2**64 - 1)
+        self.sizes = np.array([len(ws) for _, ws in items], np.int64)
+        self.edits = np.array([allowed(n, similarity) for n in self.sizes], np.int64)
+        self.codes = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
+        self.bits = np.array([[xxhash.xxh32_intdigest(w, walk) for w in (b"", *self.vocabulary)] for walk in range(WALKS)], np.uint32)
+        pieces = [(i, o, min(WINDOW, n)) for i, n in enumerate(self.sizes.tolist()) for o in sorted({*range(0, max(1, n - WINDOW + 1), WINDOW), max(0, n - WINDOW)})]
+        self.piece_item, self.piece_at, self.piece_size = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
+        # A quarter of a piece's words may be edited: its share of the item's edits is a fifth or less, the overlap of the last piece aside.
+        self.piece_edits = np.where(self.sizes[self.piece_item] > WINDOW, max(1, math.ceil(WINDOW * (1 - similarity))), self.edits[self.piece_item])
+        self.piece_words = np.full((len(pieces), WINDOW), -1, np.int32)
+        for k, (i, o, n) in enumerate(pieces):
+            self.piece_words[k, :n] = self.codes[i][o : o + n]
+        self.tables = self._tables(np.random.default_rng(seed))
+
+    def _tables(self, rng: np.random.Generator) -> dict[int, list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]]:
+        """walk -> tables: coordinates, a bitmap of the keys' first bits, sorted keys, and the piece of each key."""
+        out: dict[int, list] = {w: [] for w in range(WALKS)}
+        for c, least in enumerate(CLASSES):
+            most = CLASSES[c + 1] - 1 if c + 1 < len(CLASSES) else WINDOW
+            some = np.flatnonzero((self.piece_size >= least) & (self.piece_size <= most))
+            for walk in range(WALKS if least >= 5 else 1):
+                for _ in range(TABLES if least >= 5 else 1):
+                    # A window of under five words must be equal, which its first words tell: no coordinate there can be beyond its end.
+                    steps = sorted(rng.choice(2 * least, SAMPLED, replace=False).tolist()) if least >= 5 else list(range(least))
+                    if len(some):
+                        out[walk].append(self._table(some, walk, steps))
         return out
 
-    def embed(self, windows: np.ndarray, walk: int) -> np.ndarray:
-        """CGK: at each of 3n steps write the word under the pointer, and let a random bit of step and word move it on."""
-        m, n = windows.shape
-        padded = np.concatenate([windows, np.full((m, 1), -1, windows.dtype)], axis=1)
-        out, at, rows = np.empty((m, 3 * self.longest), np.int32), np.zeros(m, np.int64), np.arange(m)
-        for j in range(3 * self.longest):
-            c = padded[rows, at]
-            out[:, j] = c
-            at = np.minimum(at + self.steps[walk, j, c & 4095], n)
+    def _table(self, some: np.ndarray, walk: int, steps: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        width = 3 * WINDOW
+        flat = np.zeros((len(some), width), np.int64)
+        flat[:, :WINDOW] = np.maximum(self.piece_words[some], 0)
+        own = Walks(self.bits, flat.ravel())
+        begin = np.arange(len(some)) * width
+        at = [p for _, p in own.coordinates(walk, begin, steps)]
+        key = _key([own.ids[p].astype(np.uint64) for p in at], steps[-1])
+        inside = at[-1] - begin < self.piece_size[some]  # a walk that has passed the end has padding there, which equals nothing
+        key, piece = key[inside], some[inside]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        bitmap = np.zeros(1 << 16 + max(0, (len(key) >> 10).bit_length()), bool)
+        bitmap[key >> np.uint64(64 - (len(bitmap) - 1).bit_length())] = True
+        return steps, bitmap, key, piece[order]
+
+    def lookup(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece): windows from the first n places that share a table's key with a piece, each once."""
+        found, count = [], np.int64(max(1, len(self.piece_size)))
+        for a in range(0, n, CHUNK):
+            walks = Walks(self.bits, ids[a : a + CHUNK + 3 * WINDOW])
+            places, own = np.arange(min(CHUNK, n - a)), []
+            for walk, tables in self.tables.items():
+                words = {j: walks.ids[p].astype(np.uint64) for j, p in walks.coordinates(walk, places, sorted({j for t in tables for j in t[0]}))}
+                for steps, bitmap, keys, pieces in tables:
+                    if not len(keys):
+                        continue
+                    key = _key([words[j] for j in steps], steps[-1])
+                    at = np.flatnonzero(bitmap[key >> np.uint64(64 - (len(bitmap) - 1).bit_length())])
+                    lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+                    times = hi - lo
+                    rows = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    own.append((np.repeat(at, times) + a) * count + pieces[rows])
+            if own:
+                found.append(np.unique(np.concatenate(own)))
+        hits = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return hits // count, hits % count
+
+    def sharing(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """How many of a piece's words stand anywhere in ids[lo:hi]: n less the edits at least, if the piece is there."""
+        out = np.zeros(len(piece), np.int64)
+        width = int((hi - lo).max(initial=0))
+        for a in range(0, len(piece), CHUNK):
+            l_, h, words = lo[a : a + CHUNK], hi[a : a + CHUNK], self.piece_words[piece[a : a + CHUNK]]
+            seen = np.zeros(words.shape, bool)
+            for k in range(width):
+                c = np.where(l_ + k < h, ids[np.minimum(l_ + k, len(ids) - 1)], 0)
+                seen |= words == c[:, None]
+            out[a : a + CHUNK] = seen.sum(1)
         return out
 
-    def hits(self, ids: np.ndarray) -> np.ndarray:
-        """(place, item) of the starts that the shared runs of words in a sequence of word codes imply."""
-        found = []
-        known = ids > 0
-        for q, (keys, first, count, where) in self.grams.items():
-            if len(ids) < q:
-                continue
-            n = len(ids) - q + 1
-            ok = known[:n].copy()
-            for k in range(1, q):
-                ok &= known[k : n + k]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            code = np.zeros(len(at), np.uint64)
-            for k in range(q):
-                code = (code << np.uint64(16)) | ids[at + k].astype(np.uint64)
-            i = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            hit = keys[i] == code
-            at, i = at[hit], i[hit]
-            times = count[i]
-            rows = np.repeat(first[i], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-            found.append(np.stack([np.repeat(at, times) - where[rows, 1], where[rows, 0]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-    def candidates(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which of the windows (item-sized, from `start`, within [lo, hi) of their document) some table finds."""
-        keep = np.zeros(len(start), bool)
-        for a in range(0, len(start), 8192):
-            s, b = start[a : a + 8192], item[a : a + 8192]
-            at = s[:, None] + np.arange(self.longest)
-            ok = (at >= lo[a : a + 8192, None]) & (at < hi[a : a + 8192, None]) & (np.arange(self.longest) < self.sizes[b][:, None])
-            windows = np.where(ok, ids[np.clip(at, 0, len(ids) - 1)], -1)
-            own = np.zeros(len(s), bool)
-            for w in range(WALKS):
-                marks = self.embed(windows, w)
-                for walk, where in self.tables:
-                    if walk == w:
-                        same = np.ones(len(s), bool)
-                        for u in where:
-                            j = (u * 3 * self.sizes[b]).astype(np.int64)
-                            same &= marks[np.arange(len(s)), j] == self.marks[w][b, j]
-                        own |= same
-            keep[a : a + 8192] = own
-        return keep
-
-    def distances(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """The least number of word edits between each item and any stretch of ids[lo:hi], up to n of the item."""
-        out = np.zeros(len(item), np.int64)
-        for a in range(0, len(item), 4096):
-            b, l, h = item[a : a + 4096], lo[a : a + 4096], hi[a : a + 4096]
-            n = self.longest
+    def distances(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
+        """The least number of word edits between each wanted sequence and any stretch of ids[lo:hi]."""
+        sizes = np.array(list(map(len, wanted)), np.int64)
+        out = sizes.copy()
+        order = np.lexsort((hi - lo, sizes))
+        at = 0
+        while at < len(order):
+            rows = order[at : at + max(1, CELLS // (int(sizes[order[at]]) + 1))]
+            rows = rows[sizes[rows] <= 2 * sizes[rows[0]] + 8]
+            at += len(rows)
+            n = int(sizes[rows].max())
+            want = np.full((len(rows), n), -1, np.int64)
+            for r, k in enumerate(rows.tolist()):
+                want[r, : sizes[k]] = wanted[k]
             ramp = np.arange(n + 1)
-            d = np.broadcast_to(ramp, (len(b), n + 1)).copy()
-            best = self.sizes[b].copy()
-            want = self.codes[b]
-            for k in range(int((h - l).max(initial=0))):
-                on = l + k < h
-                c = np.where(on, ids[np.minimum(l + k, len(ids) - 1)], -2)
+            d = np.broadcast_to(ramp, (len(rows), n + 1)).copy()
+            best, last = sizes[rows].copy(), sizes[rows]
+            l_, h = lo[rows], hi[rows]
+            for k in range(int((h - l_).max(initial=0))):
+                on = l_ + k < h
+                c = np.where(on, ids[np.minimum(l_ + k, len(ids) - 1)], -2)
                 t = np.minimum(d[:, :-1] + (want != c[:, None]), d[:, 1:] + 1)
-                new = np.concatenate([np.zeros((len(b), 1), np.int64), t], axis=1)
+                new = np.concatenate([np.zeros((len(rows), 1), np.int64), t], axis=1)
                 d = np.minimum.accumulate(new - ramp, axis=1) + ramp
-                last = d[np.arange(len(b)), self.sizes[b]]
-                best = np.where(on, np.minimum(best, last), best)
-            out[a : a + 4096] = best
+                best = np.where(on, np.minimum(best, d[np.arange(len(rows)), last]), best)
+                if not best.any():
+                    break
+            out[rows] = best
         return out
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
@@ -163,60 +202,67 @@ class Index:
         get = self.vocabulary.get
         parts = [words_of(t) if t else [] for t in texts]
         sizes = np.array([len(p) + 1 for p in parts], np.int64)
-        ends = np.cumsum(sizes)
-        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-        for p, e in zip(parts, ends.tolist(), strict=True):
-            ids[e - 1 - len(p) : e - 1] = np.fromiter(map(get, p, repeat(0)), np.int64, len(p))
+        ends = np.cumsum(sizes)  # place of the gap after each text; place 0 is the gap before the first
+        begins = ends - sizes + 1
+        n = int(sizes.sum()) + 1
+        ids = np.zeros(n + 3 * WINDOW, np.int64)
+        for p, b in zip(parts, begins.tolist(), strict=True):
+            ids[b : b + len(p)] = np.fromiter(map(get, p, repeat(0)), np.int64, len(p))
         del parts
-        hits = self.hits(ids)
-        # A gram lies within its document, as the words between documents are unknown; the document of a start that lies
-        # before its document is that of the gram, so starts are kept with the document of the gram.
-        if not len(hits):
-            return []
-        begins = ends - sizes
-        return self._verify(ids, begins, ends - 1, hits)
-
-    def _verify(self, ids, begins, ends, hits) -> list[tuple[int, int, int]]:
-        start, item = hits[:, 0], hits[:, 1]
-        # The gram that implied a start is somewhere in [start, start + n): each document there is tried.
-        first = np.clip(np.searchsorted(begins, start, "right") - 1, 0, len(begins) - 1)
-        last = np.clip(np.searchsorted(begins, start + self.sizes[item] - 1, "right") - 1, 0, len(begins) - 1)
-        times = last - first + 1
-        doc = np.repeat(first, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-        start, item = np.repeat(start, times), np.repeat(item, times)
+        place, piece = self.lookup(ids, n)
         found: dict[tuple[int, int], int] = {}
-        for a in range(0, len(start), 4096):
-            s, b, d = start[a : a + 4096], item[a : a + 4096], doc[a : a + 4096]
-            e = self.edits[b]
-            shifts = 2 * e + 1  # insertions and deletions before the run move the window
-            row = np.repeat(np.arange(len(s)), shifts)
-            at = s[row] - e[row] + (np.arange(shifts.sum()) - np.repeat(np.cumsum(shifts) - shifts, shifts))
-            triples, back = np.unique(np.stack([d[row], b[row], at], 1), axis=0, return_inverse=True)
-            near = self.candidates(ids, begins[triples[:, 0]], ends[triples[:, 0]], triples[:, 2], triples[:, 1])
-            some = np.zeros(len(s), bool)
-            some[row[near[back.ravel()]]] = True
-            s, b, d, e = s[some], b[some], d[some], e[some]
-            lo, hi = np.maximum(begins[d], s - 2 * e), np.minimum(ends[d], s + self.sizes[b] + 2 * e)
-            dist = self.distances(ids, lo, np.maximum(lo, hi), b)
-            for x, y, z in zip(d[dist <= e].tolist(), b[dist <= e].tolist(), dist[dist <= e].tolist(), strict=True):
+        for a in range(0, len(place), 50_000):
+            for x, y, z in self._verify(ids, begins, ends, place[a : a + 50_000], piece[a : a + 50_000]):
                 found[x, y] = min(z, found.get((x, y), z))
         return [(x, y, z) for (x, y), z in sorted(found.items())]
 
-
-def indexes(benchmark: DataFrame, *, key: str = "item_id", text: str = "text", similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> list[Index]:
-    """The benchmark in slices of bounded size, fetched partition by partition; null and short items take no part."""
-    out, items, chars, seen, longest = [], [], 0, set(), 0
+    def _verify(self, ids, begins, ends, place, piece) -> Iterator[tuple[int, int, int]]:
+        # A window may begin in the gap before its text, or reach into the next: both texts are tried.
+        doc, other = (np.clip(np.searchsorted(begins, at, "right") - 1, 0, len(begins) - 1) for at in (place, place + self.piece_size[piece] // 2))
+        more = other != doc
+        doc, place, piece = np.concatenate([doc, other[more]]), np.concatenate([place, place[more]]), np.concatenate([piece, piece[more]])
+        e = self.piece_edits[piece]
+        lo, hi = np.maximum(begins[doc], place - e), np.minimum(ends[doc], place + self.piece_size[piece] + e)
+        ok = np.flatnonzero(self.sharing(ids, lo, hi, piece) >= self.piece_size[piece] - e)
+        doc, place, piece, lo, hi, e = (x[ok] for x in (doc, place, piece, lo, hi, e))
+        cut = [self.codes[i][a : a + n] for i, a, n in zip(self.piece_item[piece].tolist(), self.piece_at[piece].tolist(), self.piece_size[piece].tolist(), strict=True)]
+        near = self.distances(ids, lo, hi, cut) <= e
+        doc, place, piece = doc[near], place[near], piece[near]
+        # Stretches around the pieces that an item's copy may fill; those of one text and item that overlap are one.
+        item = self.piece_item[piece]
+        e, start = self.edits[item] + self.piece_edits[piece], place - self.piece_at[piece]
+        lo, hi = np.maximum(begins[doc], start - e), np.minimum(ends[doc], start + self.sizes[item] + e)
+        order = np.lexsort((lo, item, doc))
+        doc, item, lo, hi = (x[order] for x in (doc, item, lo, hi))
+        if not len(doc):
+            return
+        group = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+        reach = np.maximum.accumulate(hi + np.cumsum(group) * len(ids)) - np.cumsum(group) * len(ids)
+        first = np.flatnonzero(group | np.concatenate([[True], lo[1:] > reach[:-1]]))
+        last = np.concatenate([first[1:], [len(doc)]]) - 1
+        doc, item, lo, hi = doc[first], item[first], lo[first], reach[last]
+        for x, y, z in zip(doc.tolist(), item.tolist(), self.distances(ids, lo, hi, [self.codes[i] for i in item.tolist()]).tolist(), strict=True):
+            if z <= self.edits[y]:
+                yield x, y, z
+
+
+def indexes(benchmark: DataFrame, *, key: str = "item_id", text: str = "text", similarity: float = SIMILARITY) -> list[Index]:
+    """The benchmark in slices of bounded size, fetched partition by partition; items without a word take no part.
+
+    A slice closes before it would pass SLICE_WORDS or SLICE_DISTINCT; an item that is larger alone is a slice of its own.
+    """
+    out, items, n, seen = [], [], 0, set()
     for r in benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).toLocalIterator():
         ws = words_of(r[1] or "")
-        if len(ws) < least:
+        if not ws:
             continue
-        if items and (chars + len(r[1]) > SLICE_CHARS or len(seen | set(ws)) > SLICE_WORDS or (len(items) + 1) * max(longest, len(ws)) > SLICE_CELLS):
+        own = set(ws)
+        if items and (n + len(ws) > SLICE_WORDS or len(seen | own) > SLICE_DISTINCT):
             out.append(Index(items, similarity))
-            items, chars, seen, longest = [], 0, set(), 0
+            items, n, seen = [], 0, set()
         items.append((r[0], ws))
-        chars += len(r[1])
-        longest = max(longest, len(ws))
-        seen |= set(ws)
+        n += len(ws)
+        seen |= own
     return [*out, Index(items, similarity)] if items else out
 
 
@@ -232,29 +278,35 @@ def _batched(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, list]]:
         yield at, texts[at:]
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, similarity: float) -> list[list]:
+    """Broadcast indexes, at most SLICES for one pass over the documents."""
+    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark, similarity=similarity)]
+    return [shared[i : i + SLICES] for i in range(0, len(shared), SLICES)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, n_words, similarity) for each row of docs and item that it holds.
 
     A row holds an item if some stretch of its words is within floor((1 - similarity) * n) word edits of the
-    item's n words. Null, empty and clean texts give no row; repeated rows give theirs each, repeated items too. Texts are read whole
-    and never shuffled. An item-sized window is looked at where a run of words that any near copy keeps
-    is found; CGK embeddings and bit sampling choose among these, and the edit distance is exact.
+    item's n words; items may have any number of words (of fewer than five, all must stand there). Null, empty and clean texts give
+    no row; repeated rows give theirs each, repeated items too; an empty table on either side gives none. Texts are read whole
+    and never shuffled. Every window of a text is embedded and looked up in the items' tables; what they find is verified by the exact
+    edit distance, so that no row is wrong, and a leak is missed only if no table finds any of its windows. The benchmark
+    is broadcast in indexes of bounded size, up to SLICES of them in one pass over the documents.
     """
     schema = "doc_id long, item_id long, edits long, n_words long, similarity double"
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = spark.createDataFrame([], schema)
-    for index in indexes(benchmark, similarity=similarity):
-        shared = spark.sparkContext.broadcast(index)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _passes(docs, benchmark, similarity):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), []
                 for at, texts in _batched(batch.column(1).to_pylist()):
-                    for d, i, e in index.leaks(texts):
-                        n = int(index.sizes[i])
-                        found.append((ids[at + d], index.items[i][0], e, n, 1 - e / n))
+                    for index in (s.value for s in shared):
+                        for d, i, e in index.leaks(texts):
+                            n = int(index.sizes[i])
+                            found.append((ids[at + d], index.keys[i], e, n, 1 - e / n))
                 cols = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["doc_id", "item_id", "edits", "n_words", "similarity"])
 
@@ -263,14 +315,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """docs without the rows that hold an item of the benchmark."""
+    """docs without the rows that hold an item of the benchmark, by find_leaks()'s rule; all columns stay, whatever their names."""
     place = docs.columns.index(text)
-    for index in indexes(benchmark, similarity=similarity):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared in _passes(docs, benchmark, similarity):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bad = {at + d for at, texts in _batched(batch.column(place).to_pylist()) for d, _, _ in shared.value.leaks(texts)}
+                bad = {at + d for at, texts in _batched(batch.column(place).to_pylist()) for s in shared for d, _, _ in s.value.leaks(texts)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ def plain(spark, folder):
     kept = {}
     for k in sorted(first):
         words = [w.decode() for w in decontaminate.words_of(texts[k])]
-        if not any(len(i) >= 5 and brute.word_edits(i, words) <= len(i) // 5 for i in items):
+        if not any(i and brute.word_edits(i, words) <= len(i) // 5 for i in items):
             kept[k] = texts[k]
     return kept
 
