@@ -109,7 +109,12 @@ def preview(text: Column, most: int = 80) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
+# Terminal escapes, two or more blank lines, what makes a line solid, and from how many on equal lines are a run.
 ANSI = "\x1b\\[[0-9;?]*[A-Za-z]|\x1b\\][^\x07]*\x07"
+BLANK = r"\n[ \t]*\n[ \t]*\n(?:[ \t]*\n)*"
+SOLID = r"[^ \t\r]"
+RUN = 3
+REPEATED = "[previous line repeated {} more times]"
 
 
 def strip_ansi(text: Column) -> Column:
@@ -118,23 +123,29 @@ def strip_ansi(text: Column) -> Column:
 
 def squeeze_blank(text: Column) -> Column:
     """Two or more blank lines become one."""
-    return F.regexp_replace(text, r"\n[ \t]*\n[ \t]*\n(?:[ \t]*\n)*", "\n\n")
+    return F.regexp_replace(text, BLANK, "\n\n")
 
 
-def dedupe_lines(text: Column, run: int = 3) -> Column:
-    """Runs of `run` or more equal lines that aren't blank: the line once and a note of how many followed."""
-    lines = F.split(text, "\n", -1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
+def dedupe_lines(text: Column, run: int = RUN) -> Column:
+    """Runs of `run` or more equal lines that aren't blank: the line once and a note of how many followed.
 
-    def close(s):
-        many = (s["n"] >= run) & (F.trim(s["last"]) != "")
-        note = F.concat(F.lit("[previous line repeated "), (s["n"] - 1).cast("string"), F.lit(" more times]"))
-        return F.when(s["n"] == 0, s["out"]).when(many, F.concat(s["out"], F.array(s["last"], note))).otherwise(F.concat(s["out"], F.array_repeat(s["last"], s["n"])))
+    The places where runs begin are marked against the line before, so that the cost follows the text's length.
+    """
+
+    before, after = REPEATED.split("{}")
+
+    def shown(p):
+        line, n = p["line"], p["next"] - p["at"]
+        note = F.concat(F.lit(before), (n - 1).cast("string"), F.lit(after))
+        return F.when((n >= run) & line.rlike(SOLID), F.array(line, note)).otherwise(F.array_repeat(line, n))
 
-    def step(s, line):
-        return F.when((s["n"] > 0) & (s["last"] == line), F.struct(s["out"].alias("out"), s["last"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(F.struct(close(s).alias("out"), line.alias("last"), F.lit(1).alias("n")))
+    def runs(lines):
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i) != F.get(lines, i - 1)))
+        ends = F.concat(F.slice(starts, 2, F.size(lines)), F.array(F.size(lines)))
+        pairs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), b.alias("next"), F.get(lines, a).alias("line")))
+        return F.array_join(F.flatten(F.transform(pairs, shown)), "\n")
 
-    return F.array_join(F.aggregate(lines, start, step, close), "\n")
+    return F.transform(F.array(F.split(text, "\n", -1)), runs)[0]
 
 
 def content_hash(text: Column) -> Column:

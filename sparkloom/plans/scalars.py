@@ -149,8 +149,8 @@ _REPEATED = "concat(repeat(concat(lang, chr(10)), CAST(doc_id % 6 AS INT)), text
 @query(f"""WITH l AS (SELECT doc_id, string_split({_REPEATED}, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
 b AS (SELECT *, CASE WHEN line IS NOT DISTINCT FROM lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AND pos > 1 THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM b),
 r AS (SELECT doc_id, grp, any_value(line) AS line, count(*) AS n FROM g GROUP BY 1, 2),
-o AS (SELECT doc_id, grp, CASE WHEN n >= 3 AND trim(line) <> '' THEN line || chr(10) || '[previous line repeated ' || (n - 1) || ' more times]' ELSE rtrim(repeat(line || chr(10), n), '') END AS chunk, n, line FROM r)
-SELECT doc_id, string_agg(CASE WHEN n >= 3 AND trim(line) <> '' THEN chunk ELSE left(chunk, length(chunk) - 1) END, chr(10) ORDER BY grp) AS deduped FROM o GROUP BY doc_id""")
+o AS (SELECT doc_id, grp, CASE WHEN n >= 3 AND regexp_matches(line, '[^ \t\r]') THEN line || chr(10) || '[previous line repeated ' || (n - 1) || ' more times]' ELSE rtrim(repeat(line || chr(10), n), '') END AS chunk, n, line FROM r)
+SELECT doc_id, string_agg(CASE WHEN n >= 3 AND regexp_matches(line, '[^ \t\r]') THEN chunk ELSE left(chunk, length(chunk) - 1) END, chr(10) ORDER BY grp) AS deduped FROM o GROUP BY doc_id""")
 def dedupe_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", text.dedupe_lines(F.expr(_REPEATED)).alias("deduped"))
 
@@ -198,11 +198,20 @@ def tool_result_chars(spark, d):
     return rewrite.bodies_of(table(spark, d, "conversations")).select("conv_id", rewrite.tool_result_chars(F.col("body")).alias("chars"))
 
 
-@query()
+@query(compress.compress_sql("text", 4000, 1500, "documents"))
 def compress_text(spark, d):
     return table(spark, d, "documents").select("doc_id", compress.compress_text(F.col("text"), F.lit(4000), F.lit(1500)).alias("compressed"))
 
 
+# A log: colours, repeated and blank lines, an encoded run, lines that tell of errors.
+_LOG = "concat(chr(27), '[1m', text, chr(27), '[0m', chr(10), repeat(concat('same ', lang, chr(10)), CAST(doc_id % 7 AS INT)), chr(10), chr(10), chr(10), repeat('QUJD', CAST(200 * (doc_id % 5) AS INT)), '=', chr(10), 'Error in ', source, chr(10), text, chr(10), 'a warning', chr(10), text)"
+
+
+@query(compress.compress_sql(_LOG, 900, 500, "documents"))
+def compress_logs(spark, d):
+    return table(spark, d, "documents").select("doc_id", compress.compress_text(F.expr(_LOG), F.lit(900), F.lit(500)).alias("compressed"))
+
+
 @query()
 def shrink_json(spark, d):
     bodies = rewrite.bodies_of(table(spark, d, "conversations"))

@@ -192,6 +192,19 @@ def test_compression_is_stable_and_recoverable(spark):
     diff = "diff --git a b\n" + "+x\n" * 5000
     assert compress.compress(diff, 100, 50) == diff
     assert compress.compress("a" * 10 + "Qk" * 2000, 9999, 50).startswith("[")
+    deep = "[" * 700 + "]" * 700
+    assert compress.shorter_json(deep).startswith("[[[")
+
+
+def test_compression_of_columns_is_that_of_texts(spark):
+    r = random.Random(3)
+    words = ["error", "fine", "x" * 90, "same", "same", "", " ", "\t", "\x1b[0mred", "Zm9v" * 600, "a Warning here", "é"]
+    rows = [("\n".join(r.choice(words) for _ in range(r.randint(0, 60))),) for _ in range(150)]
+    rows += [(None,), ("",), ("\n",), ("a\na\na",), ("diff --git a b\n" + "+x\n" * 900,), (json.dumps({"a": [1] * 90, "status": ["x" * 900]}),), ("[not json " + "y" * 3000,), (" {} ",), ("x" * 5000,)]
+    df = spark.createDataFrame(rows, "t string")
+    for threshold, keep in ((300, 120), (100, 1), (9999, 30)):
+        got = df.select("t", compress.compress_text(F.col("t"), F.lit(threshold), F.lit(keep)).alias("c")).collect()
+        assert [x["c"] for x in got] == [None if x["t"] is None else compress.compress(x["t"], threshold, keep) for x in got]
 
 
 BODY = {"model": "big", "max_tokens": 9000, "thinking": {"budget_tokens": 5000}, "tools": [{"name": "t"}], "system": "Be.", "messages": [{"role": "user", "content": [{"type": "tool_result", "content": "same\n" * 500}]}]}
