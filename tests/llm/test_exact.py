@@ -3,6 +3,7 @@
 import pickle
 import random
 import re
+import resource
 import zlib
 from html import unescape
 from pathlib import Path
@@ -356,9 +357,11 @@ def passages(r: random.Random) -> list[tuple]:
     return list(enumerate(out)) + [(3, out[3]), (None, out[5][:700])]
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("most,shares", [(1500, 4), (1, 4), (2, 7)])
+def test_repeats(spark, monkeypatch, most, shares):
+    # With 1 or 2 contexts a key, keys grow to whole windows, and one lead is dealt over many partitions.
+    monkeypatch.setattr(substring_dedup, "MOST", most)
+    monkeypatch.setattr(substring_dedup, "SHARES", shares)
     rows = passages(random.Random(9))
     docs = spark.createDataFrame([(*t, 1, b"") for t in rows], "doc_id long, text string, mark long, ctx binary").repartition(4)
     got = sorted(map(repr, (tuple(x) for x in substring_dedup.remove_repeats(docs).collect())))
@@ -375,11 +378,28 @@ def test_repeats_of_nothing(spark):
 def test_repeats_across_pieces_of_a_long_text(monkeypatch):
     r = random.Random(10)
     text = " ".join(texts(r, 60)).encode()
-    whole = substring_dedup.anchors(text)
+    at = lambda *runs: {w: (g, p) for a in runs for g, p, s, e in zip(*(c.tolist() for c in a), strict=True) for w in range(s, e + 1)}
+    whole = at(substring_dedup.anchors(text))
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
-    parts = substring_dedup.anchors(text)
-    at = lambda a: {w: (g, p) for g, p, s, e in zip(*(c.tolist() for c in a), strict=True) for w in range(s, e + 1)}
-    assert at(whole) == at(parts) and len(at(whole)) == len(text) - 199
+    parts = at(*(substring_dedup.anchors(text, i) for i in range(0, len(text) - 199, 700)))
+    assert whole == parts and len(whole) == len(text) - 199
+
+
+def test_a_text_that_repeats_itself_is_settled_in_bounded_memory():
+    for unit, size in ((b"x", 5_000_000), (bytes(range(33, 120)), 5_000_000), (b"0123456789" * 90 + b"!", 5_000_000)):
+        text = (unit * (size // len(unit) + 1))[:size]
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        runs, spans = substring_dedup.distinct_runs(text)
+        # What stands alone, at the ends of the text and of its pieces, meets its equals with all other texts.
+        assert sum(b - a for a, b in spans) >= size - 2 * len(unit) and len(runs[0]) < 2 * len(unit) + 30
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_a_long_text_that_repeats_itself_meets_others(spark):
+    rows = [(1, "x" * 400_000), (2, "a" + "x" * 199 + "b"), (3, "a" + "x" * 200 + "b"), (4, "y" * 199 + "z"), (5, "lead " + "0123456789" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(repr, (tuple(x) for x in substring_dedup.remove_repeats(docs).collect())))
+    assert got == sorted(map(repr, brute.removed(rows)))
 
 
 def test_multikey_sort():
