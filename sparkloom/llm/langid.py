@@ -15,14 +15,19 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")  # letters, and numerals such as ½ and Ⅷ, which aren't
 UNKNOWN = "und"
-#: Labelled rows that the network is fitted on at most, windows taken of each, and passes.
+#: Labelled rows that the network is fitted on at most, windows drawn from each at most, and passes.
 SAMPLE, TAKES, EPOCHS = 3000, 3, 8
 #: Windows that one matrix product takes.
 BATCH = 256
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category stands anywhere in the text."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 @dataclass
 class Network:
     """Byte embedding, filters of several widths (padded with zeros to the widest), max pooling, softmax."""
@@ -55,7 +60,7 @@ def windows_of(text: bytes) -> np.ndarray:
     return np.frombuffer(text.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def fit(texts: list[str], langs: list[str], *, seed: int = 3) -> Network | None:
+def fit(takes: list[list[bytes]], langs: list[str], *, seed: int = 3) -> Network | None:
     """A network fitted on windows of the labelled texts; None without a label, a constant one with one label.
 
     Classes weigh the same however many texts they have. Adam, fixed seed and order: the same texts give the same network.
@@ -72,10 +77,9 @@ def fit(texts: list[str], langs: list[str], *, seed: int = 3) -> Network | None:
     net = Network(labels, rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), (rng.normal(0, 0.3, (w * EMBED, f)) * mask).astype(np.float32), np.zeros(f, np.float32), rng.normal(0, 0.1, (f, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32))
     net.embed[0] = 0
     xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        ws = windows_of(text.encode())
-        for k in rng.choice(len(ws), min(TAKES, len(ws)), replace=False):
-            xs.append(ws[k])
+    for windows, lang in zip(takes, langs, strict=True):
+        for window in windows:
+            xs.append(windows_of(window)[0])
             ys.append(labels.index(lang))
     x, y = np.array(xs), np.array(ys)
     weight = (len(y) / (len(labels) * np.bincount(y, minlength=len(labels)).clip(1)))[y].astype(np.float32)
@@ -122,17 +126,18 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """Fit on about `sample` rows with text and label that aren't held out: those whose hash of key and text is lowest.
 
     Their number is counted first, and the hash's bound follows from it, so that what the tasks send to the driver stays as
-    small for any input: up to twice `sample` rows, each with 2048 characters at most from a place that its hash chooses.
+    small for any input: up to twice `sample` rows, each with TAKES windows, which a hash draws from all of its text.
     """
-    size, part = F.length(F.col(text)), 2048
-    at = F.when(size > part, F.pmod(F.xxhash64(F.col(key)), size - part + 1)).otherwise(0).cast("int") + 1
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
     n = rows.count()
     h = F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col(text)), F.lit(1 << 40))
     rows = rows.withColumn("__h", h).filter(F.col("__h") < int((1 << 40) * min(1.0, 1.5 * sample / max(n, 1))))
-    rows = rows.select(F.col("__h").alias("h"), F.substring(F.col(text), at, F.lit(part)).alias("t"), F.col(lang).cast("string").alias("l"))
-    found = [r for r in rows.orderBy("h", "t", "l").limit(sample).collect() if LETTER.search(r["t"])]
-    return fit([r["t"] for r in found], [r["l"] for r in found])
+    rows = rows.filter(F.col(text).rlike(r"\p{L}")).withColumn("__b", F.encode(F.col(text), "utf-8"))
+    count = F.greatest(F.lit(1), F.ceil(F.length("__b") / WINDOW))
+    drawn = F.array_distinct(F.array(*(F.pmod(F.xxhash64(F.lit(i + 2), F.col(key), F.col("__h")), count) for i in range(TAKES))))
+    takes = F.transform(drawn, lambda i: F.substring(F.col("__b"), (i * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+    found = rows.select(F.col("__h").alias("h"), takes.alias("t"), F.col(lang).cast("string").alias("l")).orderBy("h", "t", "l").limit(sample).collect()
+    return fit([[bytes(w) for w in r["t"]] for r in found], [r["l"] for r in found])
 
 
 def held_out(key: Column) -> Column:
@@ -167,7 +172,7 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], li
         size = 0
 
     for i, text in enumerate(texts):
-        if text and LETTER.search(text):
+        if text and has_letter(text):
             b = text.encode()
             at.append(i)
             data.append(b)

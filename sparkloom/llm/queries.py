@@ -18,12 +18,12 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, count="n_dropped").select("doc_id", "text", "n_dropped")
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 pages AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY 1),
 lines AS (SELECT r, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
-counts AS (SELECT source, line, count(DISTINCT r) AS n FROM lines WHERE source IS NOT NULL AND trim(line, ' ') <> '' GROUP BY 1, 2),
-bad AS (SELECT c.source, c.line FROM counts c JOIN pages p USING (source) WHERE n >= 3 AND n > 0.1 * pages),
+counts AS (SELECT source, line, count(DISTINCT r) AS n FROM lines WHERE source IS NOT NULL AND regexp_matches(line, '[^ \t\r]') GROUP BY 1, 2),
+bad AS (SELECT c.source, c.line FROM counts c JOIN pages p USING (source) WHERE n >= 2 AND n > 0.1 * pages),
 marked AS (SELECT l.r, l.line, l.pos, b.line IS NOT NULL AS bad FROM lines l LEFT JOIN bad b ON b.source = l.source AND b.line = l.line),
 kept AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text, count(*) FILTER (bad) AS n_dropped FROM marked GROUP BY r)
 SELECT d.doc_id, kept.text AS text, coalesce(n_dropped, 0) AS n_dropped FROM d LEFT JOIN kept USING (r)"""
@@ -78,8 +78,8 @@ def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10"""

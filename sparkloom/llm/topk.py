@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of queries: what one task holds.
-CANDIDATES, QUERIES = 4096, 1024
+CANDIDATES, QUERIES = 16_384, 4096
 #: Up to this size sums of products of whole numbers are exact in doubles.
 EXACT = 2.0**52
 
@@ -85,14 +85,14 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id", vec
 
     Each component x becomes floor(scale * x); a score is the inner product of these whole numbers; ties go to the
     smaller key. A query doesn't find rows of its own key. Null vectors, those with null or non-finite components,
-    empty ones and null keys take no part; shorter vectors count as if filled up with zeros. A repeated row is a
-    candidate each time and a query once. Fewer candidates than k: all of them.
+    and null keys take no part; shorter vectors, empty ones too, count as if filled up with zeros. A repeated row is a
+    candidate each time and a query once. Fewer candidates than k: all of them. No rows, or no query: no rows come out.
 
     Rows are dealt into blocks by a hash of the key, queries likewise; a cell of the grid of blocks is one task
     that holds one block of each, and gives k rows a query at most. Every cell is exact, and so is the best of all cells.
     """
     whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
-    good = F.col(key).isNotNull() & (F.size(F.coalesce(F.col(vector), F.array())) > 0) & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.filter(good).select(F.col(key).cast("long").alias("id"), whole.alias("v"), is_query.alias("q"))
     n, nq = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     cb, qb = max(12, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))

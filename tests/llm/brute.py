@@ -25,14 +25,14 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def drop_lines(rows: list[tuple], ratio: float = 0.1, least: int = 3) -> list[tuple]:
+def drop_lines(rows: list[tuple], ratio: float = 0.1) -> list[tuple]:
     """(key, text, dropped) of (key, host, text) rows."""
     pages = Counter(h for _, h, _ in rows if h is not None)
     seen: Counter = Counter()
     for _, h, t in rows:
         if h is not None and t is not None:
-            seen.update({(h, x) for x in t.split("\n") if x.strip(" ")})
-    bad = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
+            seen.update({(h, x) for x in t.split("\n") if x.strip(" \t\r")})
+    bad = {k for k, n in seen.items() if n > 1 and n > ratio * pages[k[0]]}
     out = []
     for k, h, t in rows:
         lines = None if t is None else t.split("\n")

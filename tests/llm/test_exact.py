@@ -134,6 +134,9 @@ def test_topk(spark, dims, spread):
         scores = sorted((-sum(whole[q] * whole[c]), c) for c in range(230) if c != q)[:10]
         want |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(scores)}
     assert {tuple(x) for x in got.collect()} == want
+    void = topk.top_k(spark.createDataFrame([(0, [], 0), (1, [1.0], 0), (2, [], 0)], "vec_id long, embedding array<float>, score int"), F.col("vec_id") % 2 == 0)
+    assert sorted(tuple(x) for x in void.collect()) == [(0, 1, 1, 0), (0, 2, 2, 0), (2, 1, 0, 0), (2, 2, 1, 0)]
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, score int"), F.col("vec_id") == 0).count() == 0
     few = topk.top_k(spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>, score int"), F.col("vec_id") == 0)
     assert few.count() == 3
 
@@ -170,6 +173,16 @@ def test_packing(spark):
     assert packing.pack(table(spark, rows).limit(0)).count() == 0
 
 
+def test_both_tokenizers_give_the_same_ids():
+    r = random.Random(12)
+    slow, fast = packing._encoders(packing.default_vocabulary())
+    plain = [chr(c) for c in range(0x2028) if packing.PLAIN.fullmatch(chr(c))]
+    parts = [*plain, *"    \n\n\t'sdmtl0123456789aeiourstn", "'re", " 've", "<|endoftext|>", "<|", "  ", "\r\n", "don't", " the", "ñ", "’s", "—"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        assert fast.encode(text, allowed_special="all") == slow.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_holds_every_item(seed):
     r = random.Random(seed)

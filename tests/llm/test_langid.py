@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, determinism, defined results for odd rows."""
 
+import math
 import zlib
 
 import pytest
@@ -61,3 +62,27 @@ def test_nothing_to_learn_from(spark):
     one = spark.createDataFrame([(i, "hello there", "en") for i in range(9)], "doc_id long, text string, lang string")
     assert {x["lang_pred"] for x in langid.identify(one).collect()} == {"en"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_letters_are_those_of_unicode(network):
+    assert not any(map(langid.has_letter, ("", "12 _!?", "½ ² Ⅷ ①", "\u0301", "٣", "😀")))
+    assert all(map(langid.has_letter, ("½x", "é", "日", "ʰ", "_a_")))
+    assert langid.predict(network, ["½ ² Ⅷ ①"]) == (["und"], [0.0])
+
+
+def test_forward_pass_is_that_of_plain_loops(network):
+    data, total = ("El río y la casa, the house; déjà vu 123 " * 9).encode(), [0.0] * len(network.labels)
+    starts = range(0, len(data), langid.WINDOW)
+    for at in starts:
+        window = data[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        hidden = []
+        for f in range(network.conv.shape[1]):
+            best = -float("inf")
+            for i in range(langid.WINDOW - max(langid.WIDTHS) + 1):
+                best = max(best, sum(float(network.embed[window[i + k], d]) * float(network.conv[k * langid.EMBED + d, f]) for k in range(max(langid.WIDTHS)) for d in range(langid.EMBED)))
+            hidden.append(max(0.0, best + float(network.bias[f])))
+        scores = [sum(h * float(network.out[f, c]) for f, h in enumerate(hidden)) + float(network.out_bias[c]) for c in range(len(network.labels))]
+        parts = [math.exp(s - max(scores)) for s in scores]
+        total = [t + p / sum(parts) / len(starts) for t, p in zip(total, parts, strict=True)]
+    (lang,), (score,) = langid.predict(network, [data.decode()])
+    assert lang == network.labels[total.index(max(total))] and abs(score - max(total)) < 1e-4
