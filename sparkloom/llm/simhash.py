@@ -57,12 +57,13 @@ def fingerprints(docs: DataFrame, *, words: int = 3, key: str = "doc_id", text:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_prints(words), "doc_id long, fp long")
 
 
-def trie_self_join(bits: np.ndarray, tree: np.ndarray, budget: int, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_self_join(bits: np.ndarray, tree: np.ndarray, budget: int, sides: np.ndarray | None = None, across: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places in `bits` (uint64, sorted within each `tree`, trees in ascending order) at `budget` bits or fewer.
 
     Each tree's sorted values are a binary trie, whose nodes are ranges. Pairs of nodes go down together: both to 0 or
     both to 1 cost nothing, one to each costs a bit, and a pair beyond the budget is dropped with all below it. Nodes of
-    one value each are compared outright. With `sides`, only pairs of one value of either side come out.
+    one value each are compared outright. With `sides`, only pairs of one value of either side come out. With `across` (starts and
+    ends of ranges, and of those to join each with), whole ranges are joined with others instead of trees with themselves.
     """
     n = len(bits)
     if not n:
@@ -70,8 +71,9 @@ def trie_self_join(bits: np.ndarray, tree: np.ndarray, budget: int, sides: np.nd
     starts = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
     ends = np.concatenate([starts[1:], [n]])
     many = ends - starts > 1
-    z = np.zeros(int(many.sum()), np.int64)
-    stack = [(starts[many], ends[many], starts[many], ends[many], z, z + 63)]
+    a0, a1, b0, b1 = across if across is not None else (starts[many], ends[many], starts[many], ends[many])
+    z = np.zeros(len(a0), np.int64)
+    stack = [(a0, a1, b0, b1, z, z + 63)]
     one = np.uint64(1)
     while stack:
         a0, a1, b0, b1, cost, level = stack.pop()
@@ -133,42 +135,46 @@ class Forest:
         return i != j
 
 
-def _link(budget: int):
-    """Over partitions in which a cell's rows follow one another."""
+def _by_cell(work):
+    """Over partitions in which a cell's rows follow one another (column 1 is the cell): work(columns of whole cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def links(fps: np.ndarray, cell: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((fps, cell))
-            fps, cell, side = fps[order], cell[order], side[order]
-            forest, out_a, out_b = Forest(len(fps)), [], []
-            across = side >= 0
-            for which in (~across, across):
-                at = np.flatnonzero(which)
-                for i, j in trie_self_join(fps[at], cell[at], budget, side[at] if which is across else None):
-                    for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True):
-                        if forest.join(x, y):
-                            out_a.append(x)
-                            out_b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(fps[np.array(o, np.int64)].view(np.int64)) for o in (out_a, out_b)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             cols = [np.concatenate([h, c]) for h, c in zip(held, new, strict=True)] if held else new
             cells = cols[1]
             end = len(cells) - int(np.argmax(cells[::-1] != cells[-1])) if (cells != cells[-1]).any() else 0
             held = [c[end:] for c in cols]
             if end:
-                yield links(cols[0][:end].view(np.uint64), cells[:end], cols[2][:end])
+                yield work([c[:end] for c in cols])
         if held:
-            yield links(held[0].view(np.uint64), held[1], held[2])
+            yield work(held)
 
     return run
 
 
+def _link(budget: int):
+    def links(cols: list[np.ndarray]) -> pa.RecordBatch:
+        fps, cell, side = cols[0].view(np.uint64), cols[1], cols[2]
+        order = np.lexsort((fps, cell))
+        fps, cell, side = fps[order], cell[order], side[order]
+        forest, out_a, out_b = Forest(len(fps)), [], []
+        across = side >= 0
+        for which in (~across, across):
+            at = np.flatnonzero(which)
+            for i, j in trie_self_join(fps[at], cell[at], budget, side[at] if which is across else None):
+                for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True):
+                    if forest.join(x, y):
+                        out_a.append(x)
+                        out_b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(fps[np.array(o, np.int64)].view(np.int64)) for o in (out_a, out_b)], ["a", "b"])
+
+    return _by_cell(links)
+
+
 def _cut_bits(value: str, bits: int) -> Column:
     """Structs (i, v, rest): each of four blocks of `bits` bits of a column, and the other bits moved together."""
     mask, parts = (1 << bits) - 1, []
@@ -183,6 +189,18 @@ def _sized(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket").count().filter("count > 1")
 
 
+def _cells(keyed: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, cell, side, more) of rows with bucket and parts: a bucket of one part is one cell; of more, each two parts are one.
+
+    side is -1 in a cell of one part; in others, where only links across are wanted, it tells the part.
+    """
+    part, other = F.pmod(F.xxhash64(key), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    keyed = keyed.withColumn("part", part).select(key, "bucket", "part", *more, other.alias("with"))
+    low, high = F.least("part", "with"), F.greatest("part", "with")
+    side = F.when(low == high, -1).otherwise(F.when(F.col("part") == low, 0).otherwise(1)).cast("int")
+    return keyed.select(key, F.xxhash64("bucket", low, high).alias("cell"), side.alias("side"), *more)
+
+
 def near_pairs(prints: DataFrame, *, budget: int = 3) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp, each once) that differ in `budget` (3 or fewer) bits.
 
@@ -201,14 +219,7 @@ def near_pairs(prints: DataFrame, *, budget: int = 3) -> DataFrame:
     large = keyed.join(hot, "bucket").select("fp", "bucket", F.explode(_cut_bits("rest", BLOCK * 3 // 4)).alias("k"))
     large = large.select("fp", F.xxhash64("bucket", "k.i", "k.v").alias("bucket"))
     large = large.join(_sized(large), "bucket").select("fp", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
-    keyed = small.unionByName(large).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # Cells of a bucket: (i, i) and, with more parts, (i, j); in the latter only links across come out.
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    keyed = keyed.select("fp", "bucket", "part", other.alias("with"))
-    low, high = F.least("part", "with"), F.greatest("part", "with")
-    cell = F.xxhash64("bucket", low, high)
-    side = F.when(low == high, -1).otherwise(F.when(F.col("part") == low, 0).otherwise(1)).cast("int")
-    cells = keyed.select("fp", cell.alias("cell"), side.alias("side"))
+    cells = _cells(small.unionByName(large), "fp")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link(budget), "a long, b long").distinct()
 
 
@@ -229,13 +240,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, budget: int = 3, key: st
     return prints.join(named, prints["fp"] == named["__fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, *, words: int = 3, budget: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest key.
-
-    Rows of one key count as copies of one document: one of them stays, that of the smallest hash of its text, if the key is its
-    component's smallest. Rows without key are kept all.
-    """
-    near = near_duplicates(docs, words=words, budget=budget, key=key, text=text).filter("doc_id is not null")
+def _first_rows(docs: DataFrame, near: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with one row of each component of near (doc_id, component_id): that of the smallest key; rows without key stay."""
+    near = near.filter("doc_id is not null")
     keys = near.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
     # Written out, so that Spark knows how large they are: the documents' texts are shuffled only if these keys can't be broadcast.
     marked = materialize(keys.filter("not first or n > 1").select("__key", (~F.col("first")).alias("__gone")), "marked")
@@ -244,3 +251,12 @@ def keep_first(docs: DataFrame, *, words: int = 3, budget: int = 3, key: str = "
     row = F.struct(*(F.col(c) for c in docs.columns))
     again = found.filter("not __gone").groupBy("__key").agg(F.min_by(row, F.coalesce(F.xxhash64(F.col(text)), F.lit(0))).alias("r")).select("r.*")
     return once.unionByName(again)
+
+
+def keep_first(docs: DataFrame, *, words: int = 3, budget: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component of near_duplicates(): that of the smallest key.
+
+    Rows of one key count as copies of one document: one of them stays, that of the smallest hash of its text, if the key is its
+    component's smallest. Rows without key are kept all.
+    """
+    return _first_rows(docs, near_duplicates(docs, words=words, budget=budget, key=key, text=text), key, text)
