@@ -7,34 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, langid, line_dedup, packing, simhash
+from sparkloom.llm import decontaminate, langid, line_dedup, packing, similar
 from sparkloom.shared_store import materialize
 from sparkloom.tables import table
 
 
+# Of all stages: null, empty and very long texts are read whole and judged like others, repeated rows each, an empty table stays empty, and
+# columns besides those named here pass through, whatever their names. What a stage says of one of these cases follows.
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that no learned language claims with 0.35 of the probability, go; mixed ones stay."""
+    """Documents that no learned language claims with 0.35 of the probability go; mixed ones stay. Null, empty and letterless texts go."""
     return langid.drop_rejected(docs, least=0.35)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; n_chars follows the text."""
+    """Lines on more than a tenth of a source's documents go; n_chars follows the text.
+
+    Null text stays null, a document without source keeps its text, a text of such lines alone becomes empty.
+    """
     out = line_dedup.drop_boilerplate(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of documents that links of five-word Jaccard similarity 0.8 or more join, the one of the smallest doc_id stays.
+
+    Texts without a word, null ones too, are equal. Of rows of one doc_id one stays; rows without doc_id stay all.
+    """
+    return similar.keep_first_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark, up to a fifth of its words edited, go."""
+    """Documents that hold an item of the benchmark, up to a fifth of its words edited, go. Null and empty texts hold none; an
+    empty benchmark takes nothing away."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokenised rest in sequences of 2048 ids: one row for each piece."""
+    """The tokenised rest in sequences of 2048 ids: one row for each piece; a null or empty text is its closing id alone."""
     return packing.pack(docs)
 
 
