@@ -28,6 +28,10 @@ class AmbiguousRepository(LookupError):
     pass
 
 
+#: Stands for the commit of an index that holds changes which no commit has.
+DIRTY = "uncommitted"
+
+
 class Engine:
     """One store, one user. Queries run in batches: a list of questions is one plan keyed by query_id."""
 
@@ -67,18 +71,29 @@ class Engine:
     # --- indexing
 
     def index(self, path: str, name: str | None = None, *, incremental: bool = False, extra: Sequence[str] = ()) -> dict:
-        """Index the files below path; incrementally, only those whose content differs from what is stored."""
+        """Index the files below path. In a git repository ignored files are left out.
+
+        Incrementally, git tells what differs from the commit that was indexed last, and other files aren't read; if that commit
+        is unknown or gone, all is indexed. Without git, or after a run over changes that weren't committed (they may have been taken
+        back since, of which git knows nothing), files whose content differs from what is stored are indexed anew.
+        """
         began = time.time()
         rid = self.register(name or path.rstrip("/").rsplit("/", 1)[-1], local_path=path)
+        told = None
+        if incremental and scan.head(path):
+            base = self.store.read("repositories").filter(F.col("repository_id") == rid).select("indexed_commit_sha").first()[0]
+            if base != DIRTY:
+                told = scan.changed_since(self.spark, path, base, self.store.read("source_files", [rid]))
+                incremental = told is not None
         mode = "incremental" if incremental else "full"
         try:
-            stats = self._index(rid, path, incremental, extra)
+            stats = self._index(rid, path, incremental, extra, told)
         except Exception as e:
             self._log(rid, mode, "failed", began, error=str(e)[:2000])
             raise
         self._log(rid, mode, "completed", began, head_commit=scan.head(path), **stats)
         if sha := scan.head(path):
-            self.register(name or path.rstrip("/").rsplit("/", 1)[-1], indexed_commit_sha=sha)
+            self.register(name or path.rstrip("/").rsplit("/", 1)[-1], indexed_commit_sha=sha if scan.clean(path) else DIRTY)
         return {"repository_id": rid, **stats}
 
     def _log(self, rid: int, mode: str, status: str, began: float, **more) -> None:
@@ -86,8 +101,15 @@ class Engine:
         df = self.spark.createDataFrame([tuple(row.values())], list(row)).withColumns({"created_at": F.current_timestamp(), "run_id": F.xxhash64(F.uuid())})
         self.store.append("indexing_runs", df)
 
-    def _index(self, rid: int, path: str, incremental: bool, extra: Sequence[str]) -> dict:
-        found = scan.scan_walk(self.spark, path, extra=extra).select("path", F.col("size").alias("size_bytes"), scan.read_text(F.col("content")).alias("raw")).filter("raw is not null")
+    def _index(self, rid: int, path: str, incremental: bool, extra: Sequence[str], told: DataFrame | None = None) -> dict:
+        if told is not None:
+            told = materialize(told.filter(paths.should_index(F.col("path"), extra)), "told")
+            walked = scan.read_listed(told.filter("op != 'D'").select("path", F.lit(-1).cast("long").alias("size")), path).filter("content is not null")
+        else:
+            walked = scan.scan_walk(self.spark, path, extra=extra)
+            if scan.head(path):
+                walked = walked.join(scan.scan_git(self.spark, path), "path", "left_semi")
+        found = walked.select("path", F.col("size").alias("size_bytes"), scan.read_text(F.col("content")).alias("raw")).filter("raw is not null")
         clean, count, _ = paths.redact(F.col("raw"))
         found = found.select("path", "size_bytes", F.sha2("raw", 256).alias("content_hash"), clean.alias("text"), count.alias("redactions"))
         current = materialize(found, "scan")
@@ -95,6 +117,9 @@ class Engine:
         gone_files = gone_symbols = 0
         if incremental:
             old = {t: materialize(self.store.read(t, [rid]), t) for t in ("source_files", "symbols", "raw_edges")}
+            if told is not None:
+                # Files that git doesn't speak of are as they were; what it tells without a change of content is no change.
+                files = index.without(old["source_files"], told).unionByName(files, allowMissingColumns=True)
             changed = materialize(index.changes(old["source_files"], files), "changes")
             # A modified file is taken out and put in anew.
             left, kept, numbers = index.delete_files(old["source_files"], old["symbols"], changed)

@@ -129,13 +129,33 @@ def _calls(body: list[ast.stmt]) -> list[tuple[str, str]]:
     return list(found)
 
 
+def _sound(source: str) -> str:
+    """The source with the top-level statements that don't parse made blank, each for itself, so that lines keep their numbers."""
+    lines = source.splitlines(keepends=True)
+    begins = re.compile(r"(?!else\b|elif\b|except\b|finally\b)[^\s#)\]}]")
+    starts = [i for i, x in enumerate(lines) if begins.match(x) and not (i and lines[i - 1].startswith("@"))]
+    out = [x if not x.strip() else "\n" for x in lines[: starts[0] if starts else len(lines)]]
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        part = "".join(lines[a:b])
+        try:
+            ast.parse(part)
+            out.append(part)
+        except (SyntaxError, ValueError, RecursionError):
+            out.append("\n" * (b - a))
+    return "".join(out)
+
+
 def python_symbols(path: str, module: str, source: str) -> Symbols:
-    """Module, classes, functions and methods; a file that doesn't parse is its module alone."""
+    """Module, classes, functions and methods. Of a file with errors the top-level statements that parse count; if none does, it is its module alone."""
     out = Symbols(path, module)
     name = module.rsplit(".", 1)[-1]
-    try:
-        py = _Python(source)
-    except (SyntaxError, ValueError, RecursionError):
+    for attempt in (source, None):
+        try:
+            py = _Python(source if attempt is not None else _sound(source))
+            break
+        except (SyntaxError, ValueError, RecursionError):
+            py = None
+    if py is None or attempt is None and not py.tree.body:
         out.add(None, name, module, "module", 1, source.count("\n") + 1, source, None, None, [])
         return out
     defs = [n for n in py.tree.body if isinstance(n, _DEFS)]
@@ -182,12 +202,29 @@ _SCRIPT = _COMMON | {"catch", "function", "super", "new", "await", "typeof", "do
 _NO_CALL = {"javascript": _SCRIPT, "typescript": _SCRIPT, "tsx": _SCRIPT, "java": _COMMON | {"catch", "super", "new", "synchronized", "do", "try"}, "rust": _COMMON | {"fn", "match", "loop", "in"}, "go": _COMMON | {"func", "defer", "go", "select", "range"}}
 
 
+#: A regular expression of JavaScript; it may stand where a value may begin: after a sign, or after one of these words.
+REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+_BEFORE_VALUE = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield", "instanceof"}
+
+
+def _scan(source: str, regexes: bool) -> Iterator[tuple[str, str, int, int]]:
+    at, last = 0, ("sign", ";")
+    while m := TOKEN.match(source, at):
+        kind, found = m.lastgroup, m[0]
+        if kind == "sign" and found == "/" and regexes and (last[0] == "sign" and last[1] not in (")", "]", "}") or last[1] in _BEFORE_VALUE) and (r := REGEX.match(source, at)):
+            kind, found = "str", r[0]
+        at += len(found)
+        if kind != "skip":
+            last = (kind, found)
+            yield kind, found, at - len(found), at
+
+
 class _Tokens:
     """The tokens of a source without comments, and for each opening bracket where it closes."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, regexes: bool = False):
         self.source = source
-        self.toks = [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(source) if m.lastgroup != "skip"]
+        self.toks = list(_scan(source, regexes))
         self.close: dict[int, int] = {}
         stack: list[int] = []
         for i, (_, t, _, _) in enumerate(self.toks):
@@ -215,7 +252,7 @@ class _Tokens:
 
 class _Braces:
     def __init__(self, path: str, module: str, language: str, source: str):
-        self.language, self.t, self.module = language, _Tokens(source), module
+        self.language, self.t, self.module = language, _Tokens(source, language in ("javascript", "typescript", "tsx")), module
         self.starts = [0] + [m.end() for m in re.finditer("\n", source)]
         self.out = Symbols(path, module)
         self.spans: list[tuple[int, int]] = []
@@ -270,7 +307,7 @@ class _Braces:
                 at = j + 2 if t.text(j + 1) == "*" else j + 1
                 return whole("function", t.text(at), at + 1) if t.word(at) else None
             if word in ("const", "let", "var") and t.word(j + 1):
-                eq = t.find(j + 2, min(end, j + 40), "=", ";")
+                eq = t.find(j + 2, end, "=", ";") if t.text(j + 2) in ("=", ":") else None
                 if eq is not None and t.text(eq) == "=":
                     k = eq + 1 + (t.text(eq + 1) == "async")
                     arrow = t.close[k] + 1 if t.text(k) == "(" else k + 1
@@ -351,8 +388,10 @@ class _Braces:
                     names = [t.text(k) for k in range(i + 1, end or i + 1) if t.text(k) != "static"]
                     out.append("".join(names).removesuffix(".*"))
                 else:
-                    k = next((k for k in range(i + 1, min(i + 200, len(t.toks))) if t.toks[k][0] == "str" or t.text(k) == ";"), None)
-                    out += [t.text(k).strip("\"`'")] if k is not None and t.toks[k][0] == "str" else []
+                    k = i + 1
+                    while k < len(t.toks) and t.toks[k][0] != "str" and t.text(k) != ";":
+                        k = t.close.get(k, k) + 1
+                    out += [t.text(k).strip("\"`'")] if k < len(t.toks) and t.toks[k][0] == "str" else []
             elif word == "use" and self.language == "rust":
                 end = t.find(i, len(t.toks), ";")
                 if end:

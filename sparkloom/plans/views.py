@@ -32,7 +32,7 @@ SELECT source_symbol_id, target_symbol_id, relationship_type, round(max(confiden
 SELECT l_orderkey AS edge_id, CAST(l_suppkey AS BIGINT) AS source_symbol_id, CASE WHEN l_returnflag = 'A' THEN 'CALLS' WHEN l_returnflag = 'N' THEN 'IMPORTS' ELSE 'INHERITS' END AS relationship_type,
        CASE WHEN l_linenumber = 1 THEN 'self' WHEN l_linenumber = 2 THEN 'attr' ELSE 'bare' END AS via,
        CASE WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN CAST(0.9 AS DOUBLE) WHEN l_returnflag = 'A' THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence, CAST(l_partkey % 300 AS BIGINT) AS target_doc, l_linenumber AS line_no
-FROM {lineitem} WHERE l_linenumber <= 4""",
+FROM {lineitem}""",
     "requests": """
 SELECT conv_id * 1000 + turn AS request_id, conv_id AS query_id, conv_id, turn, CAST(floor(length(text) / 4) AS BIGINT) AS output_tokens,
        CAST(coalesce(lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), 0) * 4 AS BIGINT) AS input_tokens,

@@ -36,7 +36,7 @@ def _passed_over(spark: SparkSession, root: str) -> DataFrame:
 
     Their names are listed on the driver; the tasks read them, by the local file system or by Arrow's.
     """
-    local = root[5:] if root.startswith("file:") else root if "://" not in root else None
+    local = _local(root)
     names: list[tuple[str, int]] = []
     if local is not None:
         for at, dirs, found in os.walk(local):
@@ -56,18 +56,30 @@ def _passed_over(spark: SparkSession, root: str) -> DataFrame:
             rel = s.getPath().toUri().getPath().split(base, 1)[-1]
             if not any(x.startswith(".") for x in rel.split("/")) and ("/_" in f"/{rel}" or s.getLen() == 0):
                 names.append((rel, s.getLen()))
-    listed = spark.createDataFrame(names, "path string, size long")
+    return read_listed(spark.createDataFrame(names, "path string, size long"), root)
+
+
+def read_listed(listed: DataFrame, root: str) -> DataFrame:
+    """(path, size, content) of the named files below root alone, read by the tasks; a file that is gone has null content."""
+    local = _local(root)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths_, sizes = (batch.column(i).to_pylist() for i in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_bytes(root, local, p) if n else b"" for p, n in zip(paths_, sizes, strict=True)], pa.binary())], ["path", "size", "content"])
+            found = [b"" if n == 0 else _bytes(root, local, p) for p, n in zip(paths_, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if b is None else len(b) for b in found], pa.int64()), pa.array(found, pa.binary())], ["path", "size", "content"])
 
     return listed.mapInArrow(read, "path string, size long, content binary")
 
 
-def _bytes(root: str, local: str | None, name: str) -> bytes:
+def _local(root: str) -> str | None:
+    return root[5:] if root.startswith("file:") else root if "://" not in root else None
+
+
+def _bytes(root: str, local: str | None, name: str) -> bytes | None:
     if local is not None:
+        if not os.path.isfile(os.path.join(local, name)):
+            return None
         with open(os.path.join(local, name), "rb") as f:
             return f.read()
     from pyarrow import fs
@@ -100,29 +112,49 @@ def head(root: str) -> str | None:
         return None
 
 
+def clean(root: str) -> bool:
+    """Whether the tracked files are as the last commit has them."""
+    return not _git(root, "status", "--porcelain", "--untracked-files=no", ".").strip()
+
+
 def parse_name_status(text: Column) -> Column:
     """Changes (path, op with A, M or D) out of NUL-separated name-status output.
 
-    A rename or copy is a deletion of the first path and an addition of the second; other kinds are modifications. One fold
-    over the fields: `kind` is the status that the next paths belong to.
+    A rename or copy is a deletion of the first path and an addition of the second; other kinds are modifications. The changes
+    are matched one after another, each status with its paths, so the cost follows the output's length.
     """
-    change = "array<struct<path:string,op:string>>"
-    parts = F.filter(F.split(text, "\0", -1), lambda x: x != "")
-    start = F.struct(F.array().cast(change).alias("out"), F.lit("").alias("kind"), F.lit(0).alias("nth"))
-    one = lambda p, op: F.array(F.struct(p.alias("path"), op.alias("op")))
+    moved, other = r"[RC][0-9]*\x00[^\x00]+\x00[^\x00]+", r"[A-Z][0-9]*\x00[^\x00]+"
 
-    def step(s, x):
-        moved = s["kind"].isin("R", "C")
-        op = F.when(moved, F.when(s["nth"] == 0, "D").otherwise("A")).when(s["kind"].isin("A", "D"), s["kind"]).otherwise("M")
-        more = moved & (s["nth"] == 0)
-        status = F.struct(s["out"].alias("out"), F.substring(x, 1, 1).alias("kind"), F.lit(0).alias("nth"))
-        taken = F.struct(F.concat(s["out"], one(x, op)).alias("out"), F.when(more, s["kind"]).otherwise("").alias("kind"), F.when(more, F.lit(1)).otherwise(0).alias("nth"))
-        return F.when(s["kind"] == "", status).otherwise(taken)
+    def read(change):
+        kind, parts = F.substring(change, 1, 1), F.split(change, "\0", -1)
+        one = lambda i, op: F.struct(F.get(parts, F.lit(i)).alias("path"), op.alias("op"))
+        return F.when(kind.isin("R", "C"), F.array(one(1, F.lit("D")), one(2, F.lit("A")))).otherwise(F.array(one(1, F.when(kind.isin("A", "D"), kind).otherwise("M"))))
 
-    return F.aggregate(parts, start, step)["out"]
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"(?:{moved}|{other})\\x00?"), F.lit(0)), read))
 
 
 def scan_diff(spark: SparkSession, root: str, base: str, to: str = "HEAD") -> DataFrame:
     """(path, op) of what changed between two commits."""
-    out = spark.createDataFrame([(_git(root, "diff", "--name-status", "-z", base, to),)], "z string")
+    out = spark.createDataFrame([(_git(root, "diff", "--relative", "--name-status", "-z", base, to),)], "z string")
     return out.select(F.explode(parse_name_status(F.col("z"))).alias("c")).select("c.*")
+
+
+def changed_since(spark: SparkSession, root: str, base: str | None, known: DataFrame) -> DataFrame | None:
+    """(path, op) of what differs from a commit in the working tree; None if git can't tell, as without a repository or if the commit is gone.
+
+    `known` names the files (path) that are indexed: those that git neither tracks nor finds are deletions.
+    """
+    if not base or head(root) is None:
+        return None
+    try:
+        _git(root, "cat-file", "-e", f"{base}^{{commit}}")
+        text = _git(root, "diff", "--relative", "--name-status", "-z", base)
+        names = scan_git(spark, root)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    loose = [(n,) for n in _git(root, "ls-files", "-z", "--others", "--exclude-standard").split("\0") if n]
+    told = spark.createDataFrame([(text,)], "z string").select(F.explode(parse_name_status(F.col("z"))).alias("c")).select("c.*")
+    fresh = spark.createDataFrame(loose, "path string").select("path", F.lit("M").alias("op"))
+    gone = known.select("path").join(names, "path", "left_anti").select("path", F.lit("D").alias("op"))
+    # A path that is told of twice is there if anything says so.
+    return told.unionByName(fresh).unionByName(gone).groupBy("path").agg(F.when(F.min("op") == "D", F.when(F.max("op") == "D", "D").otherwise("M")).otherwise(F.min("op")).alias("op"))

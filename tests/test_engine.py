@@ -184,6 +184,56 @@ def test_repositories_are_kept_apart(spark, engine, tmp_path):
     assert "PartitionFilters" in plan and "repository_id" in plan.split("PartitionFilters")[1][:200]
 
 
+def test_incremental_index_by_commits(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True, text=True)
+    names = lambda e: {r["qualified_name"] for r in e.store.read("symbols").collect()}
+    last = lambda e: e.store.read("indexing_runs").orderBy(F.desc("created_at")).first()["mode"]
+    run("init", "-q")
+    for name, text in {"a.py": "def foo(): pass\ndef bar(): pass\n", "b.py": "def baz(): pass\n", "app.py": "from a import foo\ndef main():\n    foo()\n", ".gitignore": "skip.py\n", "skip.py": "def no(): pass\n"}.items():
+        (root / name).write_text(text)
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index(str(root), "r")
+    assert names(e) == {"a", "a.foo", "a.bar", "b", "b.baz", "app", "app.main"}
+    (root / "a.py").write_text("def foo(): return 1\ndef qux(): pass\n")
+    (root / "c.py").write_text("def see(): pass\n")
+    run("rm", "-q", "b.py")
+    run("add", "-A")
+    run("commit", "-qm", "two")
+    with monkeypatch.context() as m:
+        m.setattr(scan, "scan_walk", None)  # no listing: only what git names is read
+        assert e.index(str(root), "r", incremental=True)["files"] == 2
+    assert names(e) == {"a", "a.foo", "a.qux", "c", "c.see", "app", "app.main"} and last(e) == "incremental"
+    # An edge out of an unchanged file goes to the changed one's symbol.
+    s = {r["symbol_id"]: r["qualified_name"] for r in e.store.read("symbols").collect()}
+    assert ("app.main", "a.foo") in {(s[r["source_symbol_id"]], s.get(r["target_symbol_id"])) for r in e.store.read("symbol_relationships").collect()}
+    # The indexed commit is amended away and pruned: all is indexed.
+    (root / "a.py").write_text("def foo(): return 2\n")
+    run("add", "-A")
+    run("commit", "-q", "--amend", "-m", "other")
+    run("reflog", "expire", "--expire=now", "--all")
+    run("gc", "-q", "--prune=now")
+    e.index(str(root), "r", incremental=True)
+    assert names(e) == {"a", "a.foo", "c", "c.see", "app", "app.main"} and last(e) == "full"
+    # Changes that weren't committed are indexed, and seen to go.
+    (root / "c.py").write_text("def sea(): pass\n")
+    e.index(str(root), "r", incremental=True)
+    assert "c.sea" in names(e)
+    run("checkout", "-q", "c.py")
+    e.index(str(root), "r", incremental=True)
+    assert "c.see" in names(e) and "c.sea" not in names(e)
+
+
+def test_name_status_of_many_changes(spark):
+    z = "".join(f"A\0dir/R{i} x\0R100\0old{i}\0A\0M\0T\0" for i in range(3000)) + "C75\0M\0new\0"
+    got = spark.createDataFrame([(z,), ("",)], "z string").select(scan.parse_name_status(F.col("z")).alias("c")).collect()
+    assert [tuple(x) for x in got[0]["c"][:4]] == [("dir/R0 x", "A"), ("old0", "D"), ("A", "A"), ("T", "M")]
+    assert len(got[0]["c"]) == 3000 * 4 + 2 and [tuple(x) for x in got[0]["c"][-2:]] == [("M", "D"), ("new", "A")] and got[1]["c"] == []
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True, text=True)
     run("init", "-q")

@@ -68,6 +68,9 @@ def test_python():
 
 def test_python_that_does_not_parse_is_its_module():
     assert [(r["kind"], r["code"]) for r in rows("python", "def (:")] == [("module", "def (:")]
+    got = rows("python", "import os\n\n@dec\ndef fine():\n    return os.name\n\nclass Broken(:\n    def lost(self): pass\n\nif x:\n    y = 1\nelse:\n    y = 2\n\ndef after(a,\n          b):\n    fine()\n")
+    assert [(r["qualified"], r["first"]) for r in got[1:]] == [("pkg.m.fine", 3), ("pkg.m.after", 15)]
+    assert [t for _, t, _, _ in got[0]["edges"]] == ["os"] and [t for _, t, _, _ in got[2]["edges"]] == ["fine"]
     assert [(r["kind"], r["last"]) for r in rows("python", "")] == [("module", 1)]
     assert rows("python", "x = 'é'\ndef f(ü): pass\n")[1]["code"] == "def f(ü): pass"
 
@@ -124,6 +127,16 @@ def test_noise_does_not_break_the_scan(language):
         assert all(x[6] <= x[7] for x in got)
 
 
+def test_regular_expressions_and_long_annotations_hide_nothing():
+    rest = "function one() { two(); }\nclass A { run() { return /[/}]/.test(x) ? a / b / c : 1; } }\n"
+    for head in ("const re = /[\"'{]/;\n", "x.replace(/`/g, '').split(/\\//);\n", "if (a) return /{/i;\n", "const q = (a + b) / 2 / c;\n", ""):
+        assert [r["qualified"] for r in rows("javascript", head + rest)] == ["pkg.m", "pkg.m.one", "pkg.m.A", "pkg.m.A.run"], head
+    long = "export const pick: (" + ", ".join(f"a{i}: Map<string, number>" for i in range(30)) + ") => void = (a0) => { go(a0); };\n"
+    assert [r["qualified"] for r in rows("typescript", long + "let z\nfunction f() {}\n")] == ["pkg.m", "pkg.m.pick", "pkg.m.f"]
+    names = "import { " + ", ".join(f"n{i} as m{i}" for i in range(150)) + ' } from "./wide";\n'
+    assert [t for _, t, _, _ in rows("typescript", names)[0]["edges"]] == ["./wide"]
+
+
 def test_files(spark):
     files = spark.createDataFrame([("a/b.py", "def f(): pass"), ("a/c.txt", "def f(): pass"), ("d.go", "func g() {}"), ("e.py", None)], "path string, text string")
     got = {(r["file_path"], r["qualified_name"], r["symbol_type"]) for r in parse.parse_files(files).collect()}
