@@ -16,8 +16,11 @@ from sparkloom.llm.simhash import Forest, _by_cell, _cells, _first_rows, trie_se
 from sparkloom.shared_store import materialize
 
 #: Words of a fingerprint (of 64 bits), and the most that two texts of the wanted similarity differ in: of all bits, and of one word. At a
-#: similarity of 0.8 a bit differs with a chance of 0.15 to 0.19 (few shingles); these are over three standard deviations more.
-WORDS, BUDGET, WORD_BUDGET = 4, 68, 22
+#: similarity of 0.8 a bit differs with a chance of 0.15, with few shingles of up to 0.19; these are over three standard deviations more.
+WORDS, BUDGET, WORD_BUDGET = 4, 58, 22
+FEW, BUDGET_OF_FEW = 24, 68
+#: Each round of proposals asks for so many times as many forests as the one before.
+GROWTH = 16
 #: Chance that such texts agree in a bit, and that they share a bucket of some table. Rows of a bucket, on average.
 AGREE, RECALL, FILL = 0.84, 0.995, 32
 #: Rows of a part of a large bucket. Buckets of over so many rows link all to their middle before pairs are looked for.
@@ -62,12 +65,12 @@ def _prints(words: int):
         import xxhash
 
         for batch in batches:
-            nodes, prints = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, WORDS), np.uint64)
+            nodes, prints, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros(batch.num_rows, np.int64)
             for i, t in enumerate(batch.column(2)):
                 h = shingle_hashes(t.as_py() or "", words)
                 nodes[i] = xxhash.xxh64_intdigest(h.tobytes(), 1)
-                prints[i] = long_print(h)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in (nodes, *prints.T.copy()))], ["doc_id", "mark", "node", *PRINTS])
+                prints[i], sizes[i] = long_print(h), len(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in (nodes, sizes, *prints.T.copy()))], ["doc_id", "mark", "node", "size", *PRINTS])
 
     return run
 
@@ -88,7 +91,7 @@ def _spread(tables: list[np.ndarray]):
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
-                prints = np.stack([part.column(2 + i).to_numpy().view(np.uint64) for i in range(WORDS)], 1)
+                prints = np.stack([part.column(3 + i).to_numpy().view(np.uint64) for i in range(WORDS)], 1)
                 bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, WORDS * 8), axis=1).astype(np.int64)
                 for t, places in enumerate(tables):
                     bucket = (bits[:, places] << np.arange(len(places))).sum(1) | t << 48
@@ -128,14 +131,14 @@ def _middles(cols: list[np.ndarray]) -> pa.RecordBatch:
 def _forests(rounds: int):
     """Links between what isn't joined yet: nearest first, `rounds` forests of them, so that their number follows the rows'.
 
-    Columns: node, cell, side, label (what joined rows share), other (a node that `node` is known not to link with; then the row says only
-    that), the fingerprint. A cell's commonest label is never compared with itself.
+    Columns: node, cell, side, told (1: the row says only that `node` and `other` are known not to link), label (what joined rows
+    share), other, bucket, size (of the set), the fingerprint. A cell's commonest label is never compared with itself.
     """
 
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
         told = cols[3] == 1
         known = set(zip(cols[1][told].tolist(), cols[0][told].tolist(), cols[5][told].tolist(), strict=True))
-        node, cell, side, _, label, _, bucket, *prints = (c[~told] for c in cols)
+        node, cell, side, _, label, _, bucket, size, *prints = (c[~told] for c in cols)
         prints = np.stack([c.view(np.uint64) for c in prints], 1)
         word = prints[np.arange(len(prints)), (bucket >> 48) % WORDS]
         # Rows of the commonest label of each cell come first in it.
@@ -145,7 +148,7 @@ def _forests(rounds: int):
         top = best[np.flatnonzero(np.concatenate([[True], pairs[best][1:, 0] != pairs[best][:-1, 0]]))] if len(best) else best
         crowd = np.isin(which, top[times[top] > 1])
         order = np.lexsort((word, ~crowd, cell))
-        node, cell, side, label, word, crowd, prints, which = (x[order] for x in (node, cell, side, label, word, crowd, prints, which))
+        node, cell, side, label, word, crowd, prints, which, size = (x[order] for x in (node, cell, side, label, word, crowd, prints, which, size))
         tree = np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]) | (crowd[1:] != crowd[:-1])])) if len(cell) else cell
         begin = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(tree) else np.zeros(0, np.int64)
         end = np.concatenate([begin[1:], [len(tree)]]).astype(np.int64)
@@ -156,7 +159,7 @@ def _forests(rounds: int):
             found += list(trie_self_join(word, tree, WORD_BUDGET, None, (begin[two], end[two], begin[two + 1], end[two + 1])))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
         far = np.bitwise_count(prints[i] ^ prints[j]).sum(1)
-        ok = (far <= BUDGET) & (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        ok = (far <= np.where(np.minimum(size[i], size[j]) < FEW, BUDGET_OF_FEW, BUDGET)) & (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
         i, j, far = i[ok], j[ok], far[ok]
         by = np.lexsort((j, i, far))
         waiting = [(x, y) for x, y in zip(i[by].tolist(), j[by].tolist(), strict=True) if (int(cell[x]), min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))) not in known]
@@ -215,14 +218,14 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
     if not 0.8 <= similarity <= 1:
         raise ValueError("the tables are laid out for a similarity of 0.8 or more")
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(_prints(words), "doc_id long, mark long, node long, " + ", ".join(f"{f} long" for f in PRINTS)), "long-prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in PRINTS)), "nodes")
+    prints = materialize(rows.mapInArrow(_prints(words), "doc_id long, mark long, node long, size long, " + ", ".join(f"{f} long" for f in PRINTS)), "long-prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in ("size", *PRINTS))), "nodes")
     tables = plan_tables(nodes.count())
     verifier = _Verifier(docs, prints, words, similarity, key, text)
 
     def spread(label: DataFrame | None) -> DataFrame:
-        own = nodes.select("node", F.col("node").alias("label"), *PRINTS) if label is None else nodes.join(label.withColumnRenamed("component", "c"), "node", "left").select("node", F.coalesce("c", "node").alias("label"), *PRINTS)
-        return own.mapInArrow(_spread(tables), "node long, label long, " + ", ".join(f"{f} long" for f in PRINTS) + ", bucket long")
+        own = nodes.select("node", F.col("node").alias("label"), "size", *PRINTS) if label is None else nodes.join(label.withColumnRenamed("component", "c"), "node", "left").select("node", F.coalesce("c", "node").alias("label"), "size", *PRINTS)
+        return own.mapInArrow(_spread(tables), "node long, label long, size long, " + ", ".join(f"{f} long" for f in PRINTS) + ", bucket long")
 
     sizes = materialize(spread(None).groupBy("bucket").count().filter(F.col("count") > CROWD), "crowds")
     links, label = [], None
@@ -237,14 +240,14 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
     said, open_, forests = None, None, 1
     while True:
         keyed = spread(label)
-        keyed = keyed.join(hot, keyed["bucket"] == hot["hot"], "left").select("node", "bucket", "label", *PRINTS, F.coalesce("n", F.lit(1)).alias("parts"), F.col("bucket").alias("own"))
-        cells = _cells(keyed, "node", "label", "own", *PRINTS)
+        keyed = keyed.join(hot, keyed["bucket"] == hot["hot"], "left").select("node", "bucket", "label", "size", *PRINTS, F.coalesce("n", F.lit(1)).alias("parts"), F.col("bucket").alias("own"))
+        cells = _cells(keyed, "node", "label", "own", "size", *PRINTS)
         if open_ is not None:
             cells = cells.join(open_, "cell", "left_semi")
         zero = F.lit(0).cast("long")
-        cells = cells.select("node", "cell", "side", F.lit(0).alias("told"), "label", zero.alias("other"), "own", *PRINTS)
+        cells = cells.select("node", "cell", "side", F.lit(0).alias("told"), "label", zero.alias("other"), "own", "size", *PRINTS)
         if said is not None:
-            cells = cells.unionByName(said.select(F.col("a").alias("node"), "cell", F.lit(-1).alias("side"), F.lit(1).alias("told"), zero.alias("label"), F.col("b").alias("other"), zero.alias("own"), *(zero.alias(f) for f in PRINTS)))
+            cells = cells.unionByName(said.select(F.col("a").alias("node"), "cell", F.lit(-1).alias("side"), F.lit(1).alias("told"), zero.alias("label"), F.col("b").alias("other"), zero.alias("own"), zero.alias("size"), *(zero.alias(f) for f in PRINTS)))
         asked = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forests(forests), "cell long, a long, b long"), "proposed")
         if asked.isEmpty():
             break
@@ -256,7 +259,7 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
             break
         said = failed if said is None else said.unionByName(failed)
         open_ = failed.select("cell").distinct()
-        forests *= 4
+        forests *= GROWTH
     named = nodes.select("node", "least", F.col("node").alias("part")) if label is None else nodes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     first = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(first, "part").select(F.col("node").alias("__node"), "component_id"), "components")
