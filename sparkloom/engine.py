@@ -17,7 +17,7 @@ from sparkloom.shared_store import materialize
 from sparkloom.sources import files as scan
 from sparkloom.sources.store import Store
 
-MODEL, MODEL_VERSION = "hash", "1"
+MODEL, MODEL_VERSION = "hash", "2"
 
 
 class RepositoryNotFound(LookupError):
@@ -135,7 +135,10 @@ class Engine:
         edges = materialize(index.resolve_edges(symbols, raw), "edges")
         have = self.store.read("symbol_embeddings", [rid])
         have = materialize(have.join(symbols.select("symbol_id", "source_hash"), ["symbol_id", "source_hash"], "left_semi"), "embeddings")
-        fresh = materialize(index.embed(index.stale(symbols, have, MODEL, MODEL_VERSION), model=MODEL, version=MODEL_VERSION), "embedded")
+        repository = self.store.read("repositories").filter(F.col("repository_id") == rid).select(F.lit(rid).cast("long").alias("repository_id"), F.col("name").alias("__repository"))
+        wanted = index.stale(symbols, have, MODEL, MODEL_VERSION).join(F.broadcast(repository), "repository_id")
+        said = X.embedding_input(*map(F.col, ("__repository", "file_path", "qualified_name", "symbol_type", "signature", "docstring", "source_code")))
+        fresh = materialize(index.embed(wanted.withColumn("__said", said), model=MODEL, version=MODEL_VERSION, terms="__said"), "embedded")
         for table, df in (("source_files", files), ("symbols", symbols), ("raw_edges", raw), ("symbol_relationships", edges), ("symbol_embeddings", have.unionByName(fresh))):
             self.store.replace(table, df, rid)
         red = work.agg(F.coalesce(F.sum("redactions"), F.lit(0))).first()[0]
@@ -147,6 +150,10 @@ class Engine:
 
     # --- retrieval
 
+    def _search_index(self, rid: int) -> retrieve.SearchIndex:
+        own = self.store.read("symbol_embeddings", [rid]).filter((F.col("embedding_model") == MODEL) & (F.col("embedding_version") == MODEL_VERSION))
+        return retrieve.stored_index(self.store.read("symbols", [rid]), own)
+
     def _queries(self, questions: str | Sequence[str], rid: int) -> DataFrame:
         many = [questions] if isinstance(questions, str) else list(questions)
         return self.spark.createDataFrame([(i, rid, q) for i, q in enumerate(many)], "query_id long, repository_id long, question string")
@@ -154,7 +161,7 @@ class Engine:
     def search(self, questions: str | Sequence[str], repository: str | None = None, *, limit: int = 10, graph: bool = True, semantic: bool = True, reranked: bool = False) -> DataFrame:
         rid = self.resolve(repository)
         s, e = self.store.read("symbols", [rid]), self.store.read("symbol_relationships", [rid])
-        found = retrieve.hybrid(self._queries(questions, rid), s, e if graph else None, semantic=semantic, reranked=reranked, top_n=limit)
+        found = retrieve.hybrid(self._queries(questions, rid), s, e if graph else None, index=self._search_index(rid), semantic=semantic, reranked=reranked, top_n=limit)
         cols = ("symbol_id", "symbol_name", "qualified_name", "symbol_type", "file_path", "start_line", "end_line", "token_count", "signature")
         return found.join(s.select(*cols), "symbol_id").orderBy("query_id", "rank")
 
@@ -163,7 +170,7 @@ class Engine:
         began = time.time()
         rid = self.resolve(repository)
         s, e, q = self.store.read("symbols", [rid]), self.store.read("symbol_relationships", [rid]), self._queries(questions, rid)
-        ranked = materialize(retrieve.load(retrieve.hybrid(q, s, e), s), "ranked")
+        ranked = materialize(retrieve.load(retrieve.hybrid(q, s, e, index=self._search_index(rid)), s), "ranked")
         picked = materialize(pack.pack_context(ranked, max_tokens=max_tokens), "picked")
         books = pack.accounting(ranked, picked, self.store.read("source_files", [rid]).select(F.col("path").alias("file_path"), "token_count"))
         out = materialize(pack.render_prompt(q, picked, s).join(q.select("query_id", "question"), "query_id").join(books, "query_id", "left"), "context")
@@ -209,7 +216,7 @@ class Engine:
 
     def fix(self, found: DataFrame, repository: str | None = None, *, max_tokens: int | None = None) -> DataFrame:
         """The context of each analyzer finding (finding_id, file_path, line)."""
-        return findings.fix_context(found, self.scoped("symbols", repository), self.scoped("symbol_relationships", repository), max_tokens=max_tokens)
+        return findings.fix_context(found, self.scoped("symbols", repository), self.scoped("symbol_relationships", repository), index=self._search_index(self.resolve(repository)), max_tokens=max_tokens)
 
     # --- what it cost
 
@@ -231,7 +238,7 @@ class Engine:
         rid = self.resolve(repository)
         c = materialize(cases.withColumns({"query_id": F.xxhash64("question"), "repository_id": F.lit(rid).cast("long")}).dropDuplicates(["query_id"]), "cases")
         s = self.store.read("symbols", [rid])
-        ranked = retrieve.hybrid(c.select("query_id", "repository_id", "question"), s, self.store.read("symbol_relationships", [rid])).join(s.select("symbol_id", "qualified_name"), "symbol_id")
+        ranked = retrieve.hybrid(c.select("query_id", "repository_id", "question"), s, self.store.read("symbol_relationships", [rid]), index=self._search_index(rid)).join(s.select("symbol_id", "qualified_name"), "symbol_id")
         expected = c.select("query_id", F.explode("expected_symbols").alias("expected"))
         out = materialize(evaluate.recall(evaluate.first_hit_rank(c, ranked, expected)), "recall")
         self.store.append("evaluation_runs", out.withColumns({"repository_id": F.lit(rid).cast("long"), "run_id": F.xxhash64(F.uuid()), "created_at": F.current_timestamp(), "config": F.to_json(F.struct(F.lit(MODEL).alias("embedding_model"), F.lit(True).alias("graph")))}))

@@ -49,11 +49,11 @@ def lookup(symbols: DataFrame, names: DataFrame) -> DataFrame:
     return asked.join(best, "k", "left").select("name", "symbol_id")
 
 
-def fix_context(findings: DataFrame, symbols: DataFrame, edges: DataFrame, *, max_tokens: int | None = None) -> DataFrame:
+def fix_context(findings: DataFrame, symbols: DataFrame, edges: DataFrame, *, index: retrieve.SearchIndex | None = None, max_tokens: int | None = None) -> DataFrame:
     """The packed context of each finding: a search for the enclosing symbol's qualified name, with that symbol as changed."""
     found = enclosing_symbols(findings, symbols).filter("symbol_id is not null")
     queries = found.join(symbols.select("symbol_id", "repository_id", "qualified_name"), "symbol_id").select(F.col("finding_id").alias("query_id"), "repository_id", F.col("qualified_name").alias("question"))
-    ranked = retrieve.load(retrieve.hybrid(queries, symbols, edges), symbols)
+    ranked = retrieve.load(retrieve.hybrid(queries, symbols, edges, index=index), symbols)
     target = found.select(F.col("finding_id").alias("query_id"), "symbol_id", F.lit(True).alias("__own"))
     ranked = ranked.join(target, ["query_id", "symbol_id"], "left").withColumn("changed", F.coalesce("__own", F.lit(False))).drop("__own")
     return pack.pack_context(ranked, max_tokens=max_tokens)

@@ -6,6 +6,8 @@ Each retriever joins on the repository, so no query sees another's rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +73,33 @@ def lexical_hits(queries: DataFrame, lists: DataFrame, limit: int = LEXICAL_LIMI
     return best(found, limit, "lexical")
 
 
-def semantic_hits(queries: DataFrame, lists: DataFrame, limit: int = SEMANTIC_LIMIT) -> DataFrame:
-    """Cosine of hash embeddings, multiplied bucket by bucket; queries without a term find nothing."""
+class SearchIndex(NamedTuple):
+    """What a search reads of symbols, made once when they are indexed: their terms, and their embeddings bucket by bucket."""
+
+    lists: DataFrame  # repository_id, symbol_id, keys
+    vectors: DataFrame  # repository_id, symbol_id, bucket, value
+
+
+def build_index(symbols: DataFrame) -> SearchIndex:
+    """The index of symbols that no store has, written to the shared folder."""
+    lists = materialize(term_lists(symbols), "terms")
+    return SearchIndex(lists, materialize(V.hash_embed(lists, F.col("keys"), "symbol_id", "repository_id"), "vectors"))
+
+
+def stored_index(symbols: DataFrame, embeddings: DataFrame) -> SearchIndex:
+    """The index out of the store's tables of one model: search documents as they are, and embeddings; no code is read."""
+    keys = F.array_distinct(F.filter(F.split("search_document", " "), lambda x: x != ""))
+    vectors = embeddings.select("repository_id", "symbol_id", F.explode("embedding").alias("x")).select("repository_id", "symbol_id", "x.bucket", "x.value")
+    return SearchIndex(symbols.select("repository_id", "symbol_id", keys.alias("keys")), vectors)
+
+
+def semantic_hits(queries: DataFrame, vectors: DataFrame, limit: int = SEMANTIC_LIMIT) -> DataFrame:
+    """Cosine of hash embeddings, multiplied bucket by bucket; queries without a term find nothing.
+
+    Vectors stay where they are stored when the queries' buckets are few enough for Spark to broadcast; sums are formed in the tasks first.
+    """
     q = V.hash_embed(queries, X.query_keys(F.col("question")), "query_id", "repository_id").withColumnRenamed("value", "qv")
-    s = V.hash_embed(lists, F.col("keys"), "symbol_id", "repository_id")
-    found = s.join(q, ["repository_id", "bucket"]).groupBy("query_id", "symbol_id").agg((F.round(F.sum(F.col("value") * F.col("qv")), 6) + F.lit(0.0)).alias("score"))  # no -0.0
+    found = vectors.join(q, ["repository_id", "bucket"]).groupBy("query_id", "symbol_id").agg((F.round(F.sum(F.col("value") * F.col("qv")), 6) + F.lit(0.0)).alias("score"))  # no -0.0
     return best(found, limit, "semantic")
 
 
@@ -152,12 +176,15 @@ def rerank(candidates: DataFrame, queries: DataFrame, symbols: DataFrame) -> Dat
     return both.select(*candidates.columns, F.round(F.col("fused_score") + bonus, 12).alias("rerank_score"))
 
 
-def hybrid(queries: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, *, semantic: bool = True, reranked: bool = False, top_n: int | None = None) -> DataFrame:
-    """(query_id, symbol_id, fused_score, reasons, rank[, rerank_score]): all retrievers fused, expanded, reranked, cut."""
-    lists = materialize(term_lists(symbols), "terms")
-    hits = symbol_hits(queries, symbols).unionByName(lexical_hits(queries, lists))
+def hybrid(queries: DataFrame, symbols: DataFrame, edges: DataFrame | None = None, *, index: SearchIndex | None = None, semantic: bool = True, reranked: bool = False, top_n: int | None = None) -> DataFrame:
+    """(query_id, symbol_id, fused_score, reasons, rank[, rerank_score]): all retrievers fused, expanded, reranked, cut.
+
+    With an index, terms and embeddings are read from it; without, it is built of the symbols first.
+    """
+    index = index or build_index(symbols)
+    hits = symbol_hits(queries, symbols).unionByName(lexical_hits(queries, index.lists))
     if semantic:
-        hits = hits.unionByName(semantic_hits(queries, lists))
+        hits = hits.unionByName(semantic_hits(queries, index.vectors))
     fused = materialize(fuse(hits), "fused")  # the expansion reads it four times
     out = expand(fused, edges, symbols) if edges is not None else fused.drop("pos")
     if reranked:

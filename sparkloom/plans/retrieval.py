@@ -66,13 +66,20 @@ picked AS (SELECT o.query_id, row_number() OVER (PARTITION BY o.query_id ORDER B
 RESULT = "array_to_string(reasons, ',') AS reasons"
 
 
-def _lists(spark, d):
-    return materialize(retrieve.term_lists(view(spark, d, "symbols")), "terms")
+_INDEXES: dict[tuple[str, str], retrieve.SearchIndex] = {}
+
+
+def _index(spark, d) -> retrieve.SearchIndex:
+    """The symbols' index: built by the first query of a session that reads a folder, stored, and read by all later ones."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieve.build_index(view(spark, d, "symbols"))
+    return _INDEXES[key]
 
 
 def _hits(spark, d):
-    q, s, lists = view(spark, d, "cases"), view(spark, d, "symbols"), _lists(spark, d)
-    return retrieve.symbol_hits(q, s).unionByName(retrieve.lexical_hits(q, lists)).unionByName(retrieve.semantic_hits(q, lists))
+    q, s, index = view(spark, d, "cases"), view(spark, d, "symbols"), _index(spark, d)
+    return retrieve.symbol_hits(q, s).unionByName(retrieve.lexical_hits(q, index.lists)).unionByName(retrieve.semantic_hits(q, index.vectors))
 
 
 def grown(spark, d):
@@ -94,12 +101,12 @@ def topk_symbol(spark, d):
 
 @query(f"WITH {LEX} SELECT * FROM lexh")
 def topk_lexical(spark, d):
-    return retrieve.lexical_hits(view(spark, d, "cases"), _lists(spark, d))
+    return retrieve.lexical_hits(view(spark, d, "cases"), _index(spark, d).lists)
 
 
 @query(f"WITH {LEX}, {SEM} SELECT * FROM semh")
 def topk_semantic(spark, d):
-    return retrieve.semantic_hits(view(spark, d, "cases"), _lists(spark, d))
+    return retrieve.semantic_hits(view(spark, d, "cases"), _index(spark, d).vectors)
 
 
 @query("""WITH p AS (SELECT q.symbol_id AS query_id, v.symbol_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM v_vectors q JOIN v_vectors v USING (repository_id) WHERE q.symbol_id % 100 = 0)
@@ -136,7 +143,7 @@ def rerank_det(spark, d):
 
 @query(f"WITH RECURSIVE {ALL}, r AS (SELECT query_id, symbol_id, fused_score, reasons, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, symbol_id) AS rank FROM grown) SELECT query_id, symbol_id, fused_score, {RESULT}, rank FROM r WHERE rank <= 10")
 def hybrid_search(spark, d):
-    return retrieve.hybrid(view(spark, d, "cases"), view(spark, d, "symbols"), view(spark, d, "edges"), top_n=10).withColumn("reasons", F.array_join("reasons", ","))
+    return retrieve.hybrid(view(spark, d, "cases"), view(spark, d, "symbols"), view(spark, d, "edges"), index=_index(spark, d), top_n=10).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"WITH RECURSIVE {ALL}, {PACK} SELECT * FROM picked")
@@ -294,7 +301,7 @@ def fts_match(spark, d):
     from sparkloom.functions import text as X
 
     terms = view(spark, d, "cases").select("query_id", "repository_id", F.explode(X.tsquery_terms(F.col("question"))).alias("term"))
-    return retrieve.postings(retrieve.term_lists(view(spark, d, "symbols"))).join(terms, ["repository_id", "term"]).select("query_id", "symbol_id").distinct()
+    return retrieve.postings(_index(spark, d).lists).join(terms, ["repository_id", "term"]).select("query_id", "symbol_id").distinct()
 
 
 @query("SELECT a.vec_id, round(1.0::DOUBLE - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

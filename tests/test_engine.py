@@ -5,6 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.shared_store import materialize
 from sparkloom.engine import AmbiguousRepository, Engine, RepositoryNotFound
 from sparkloom.providers import Usage, deltas
 from sparkloom.sources import files as scan
@@ -109,6 +110,18 @@ def test_search(engine):
     assert e.search("anything", limit=2).count() <= 2
 
 
+def test_search_reads_what_was_stored_and_no_code(spark, engine, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    lay(tmp_path / "repo")
+    e.index(str(tmp_path / "repo"), "r")
+    ask = lambda: [(r["qualified_name"], r["fused_score"], sorted(r["reasons"])) for r in e.search("where are orders placed?", "r").collect()]
+    before = ask()
+    assert before and any("semantic" in why for *_, why in before)
+    s = materialize(e.store.read("symbols"), "symbols")
+    e.store.replace("symbols", s.withColumn("source_code", F.lit("")), s.first()["repository_id"])
+    assert ask() == before
+
+
 def test_context_stays_in_the_budget_and_adds_up(engine):
     e, *_ = engine
     r = e.context("place_order", max_tokens=700).first()
