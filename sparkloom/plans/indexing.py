@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions.parse import parse_files
-from sparkloom.operators import findings, index, rewrite
+from sparkloom.operators import compress, findings, index, rewrite
 from sparkloom.plans.registry import query
+from sparkloom.plans.retrieval import _HASH, STERMS
 from sparkloom.plans.views import view
 from sparkloom.sources import files, reports
 from sparkloom.tables import table
@@ -100,7 +101,7 @@ def anti_stale(spark, d):
     return index.stale(of("current"), have, "hash", "1").select("symbol_id")
 
 
-@query()
+@query(f"WITH {STERMS}, h AS ({_HASH.format('sterms')}) SELECT s.symbol_id, sha256(s.source_code) AS source_hash, count(*) AS buckets FROM h JOIN v_symbols s ON s.symbol_id = h.k WHERE h.v <> 0 GROUP BY 1, 2")
 def embed_repo(spark, d):
     s = view(spark, d, "symbols").select("repository_id", "symbol_id", F.sha2("source_code", 256).alias("source_hash"), "source_code")
     none = s.select("symbol_id", "source_hash", F.lit("hash").alias("embedding_model"), F.lit("0").alias("embedding_version"))
@@ -221,6 +222,92 @@ def parse_spec(spark, d):
     return parse_files(_sources(spark, d, JAVA, "java")).select("file_path", "qualified_name", "symbol_type", "start_line", "end_line")
 
 
+GO = """package a
+import "fmt"
+
+type C{0} struct {{
+    n int
+}}
+
+func (c *C{0}) Run(x int) int {{
+    return help(x)
+}}
+
+func Main() {{ fmt.Println(1) }}
+"""
+RUST = """use std::fmt;
+
+pub struct C{0} {{
+    n: i32,
+}}
+
+impl C{0} {{
+    pub fn run(&self) -> i32 {{
+        help(self.n)
+    }}
+}}
+
+fn main() {{ run(); }}
+"""
+TYPESCRIPT = """import {{ a }} from "./a";
+
+export interface S{0} {{
+    n: number;
+}}
+
+export class C{0} extends Base {{
+    async run(x: number): Promise<number> {{
+        return help(x);
+    }}
+}}
+
+export const pick = (a: Map<string, number>): number => {{ return sum(a); }}
+"""
+JAVASCRIPT = """import a from "./a";
+
+const re = /["'{{]/;
+
+class C{0} {{
+    run(x) {{
+        return help(x);
+    }}
+}}
+
+function main() {{ return run(); }}
+"""
+_C = f"{_M}, '.C', doc_id"
+
+
+def _spans(spark, d, template, ext):
+    return parse_files(_sources(spark, d, template, ext)).select("file_path", "qualified_name", "symbol_type", "start_line", "end_line")
+
+
+@query(_symbols_sql("go", "pkg", [(_M, "module", 1, 2), (_C, "class", 4, 6), (f"{_M}, '.Run'", "method", 8, 10), (f"{_M}, '.Main'", "function", 12, 12)]))
+def parse_go(spark, d):
+    return _spans(spark, d, GO, "go")
+
+
+@query(_symbols_sql("rs", "pkg", [(_M, "module", 1, 1), (_C, "class", 3, 5), (f"{_C}, '.run'", "method", 8, 10), (f"{_M}, '.main'", "function", 13, 13)]))
+def parse_rust(spark, d):
+    return _spans(spark, d, RUST, "rs")
+
+
+@query(_symbols_sql("ts", "pkg", [(_M, "module", 1, 1), (f"{_M}, '.S', doc_id", "class", 3, 5), (_C, "class", 7, 11), (f"{_C}, '.run'", "method", 8, 10), (f"{_M}, '.pick'", "function", 13, 13)]))
+def parse_typescript(spark, d):
+    return _spans(spark, d, TYPESCRIPT, "ts")
+
+
+@query(_symbols_sql("js", "pkg", [(_M, "module", 1, 3), (_C, "class", 5, 9), (f"{_C}, '.run'", "method", 6, 8), (f"{_M}, '.main'", "function", 11, 11)]))
+def parse_javascript(spark, d):
+    return _spans(spark, d, JAVASCRIPT, "js")
+
+
+@query("""WITH r AS (SELECT doc_id, unnest([{'q': concat('.C', doc_id), 's': concat('class C', doc_id, '(Base)'), 'd': concat('Of ', doc_id, '.')}, {'q': concat('.C', doc_id, '.run'), 's': 'def run(self)', 'd': NULL},
+{'q': concat('.C', doc_id, '.go'), 's': 'def go(self, x)', 'd': NULL}, {'q': '.main', 's': 'def main()', 'd': NULL}]) AS x FROM documents) SELECT concat('pkg.m', doc_id, x.q) AS qualified_name, x.s AS signature, x.d AS docstring FROM r""")
+def parse_heads(spark, d):
+    return parse_files(_sources(spark, d, PYTHON, "py")).filter("symbol_type != 'module'").select("qualified_name", "signature", "docstring")
+
+
 @query("""WITH r AS (SELECT doc_id, unnest([{'s': 0, 'k': 'IMPORTS', 't': 'os.path', 'v': NULL, 'c': 0.9::DOUBLE}, {'s': 0, 'k': 'IMPORTS', 't': concat('pkg.m', doc_id - doc_id % 10), 'v': NULL, 'c': 0.9::DOUBLE}, {'s': 1, 'k': 'INHERITS', 't': 'Base', 'v': NULL, 'c': 0.9::DOUBLE},
 {'s': 2, 'k': 'CALLS', 't': 'go', 'v': 'self', 'c': 0.9::DOUBLE}, {'s': 2, 'k': 'CALLS', 't': 'help', 'v': 'bare', 'c': 0.6::DOUBLE}, {'s': 4, 'k': 'CALLS', 't': 'run', 'v': 'attr', 'c': 0.6::DOUBLE}, {'s': 4, 'k': 'CALLS', 't': concat('C', doc_id), 'v': 'bare', 'c': 0.6::DOUBLE}]) AS x FROM documents)
 SELECT concat('pkg/m', doc_id, '.py') AS file_path, CAST(x.s AS BIGINT) AS local_id, x.k AS relationship_type, x.t AS target_name, x.v AS via, x.c AS confidence FROM r""")
@@ -267,9 +354,13 @@ def rw_autocache(spark, d):
     return _rewritten(spark, d, rewrite.Rewrites(auto_cache=True)).select("conv_id", F.regexp_count("new_body", F.lit('"cache_control"')).cast("long").alias("marks"))
 
 
-@query()
+_SHORT = compress.compress_sql("text", 300, 150, "(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)")
+
+
+@query(f"""WITH c AS ({_SHORT}), t AS (SELECT conv_id, conv_id * 100000 + turn AS doc_id, length(text) AS n FROM conversations)
+SELECT conv_id, CAST(sum(CASE WHEN length(compressed) + 64 < n THEN n - length(compressed) ELSE 0 END) AS BIGINT) AS chars_saved FROM t LEFT JOIN c USING (doc_id) GROUP BY conv_id""")
 def rw_compress(spark, d):
-    return _rewritten(spark, d, rewrite.Rewrites(compress=(800, 400))).select("conv_id", "chars_saved", F.length("new_body").cast("long").alias("length"))
+    return _rewritten(spark, d, rewrite.Rewrites(compress=(300, 150))).select("conv_id", "chars_saved")
 
 
 @query("SELECT DISTINCT symbol_name AS name, (SELECT count(*) FROM v_symbols o WHERE lower(o.symbol_name) = lower(s.symbol_name)) AS n FROM v_symbols s")

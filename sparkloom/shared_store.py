@@ -12,9 +12,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder of our own only where it is unset."""
+    """spark.checkpoint.dir as the session has it; a temporary folder of our own only where it is unset and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
     return named.rstrip("/")
 
