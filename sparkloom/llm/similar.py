@@ -20,11 +20,11 @@ from sparkloom.shared_store import materialize
 WORDS, BUDGET, WORD_BUDGET = 4, 58, 22
 FEW, BUDGET_OF_FEW = 24, 68
 #: Each round of proposals asks for so many times as many forests as the one before.
-GROWTH = 16
+GROWTH = 256
 #: Chance that such texts agree in a bit, and that they share a bucket of some table. Rows of a bucket, on average.
-AGREE, RECALL, FILL = 0.84, 0.995, 32
+AGREE, RECALL, FILL = 0.84, 0.995, 256
 #: Rows of a part of a large bucket. Buckets of over so many rows link all to their middle before pairs are looked for.
-CHUNK, CROWD = 2048, 64
+CHUNK, CROWD = 2048, 1024
 PRINTS = [f"f{i}" for i in range(WORDS)]
 
 
@@ -132,15 +132,16 @@ def _forests(rounds: int):
     """Links between what isn't joined yet: nearest first, `rounds` forests of them, so that their number follows the rows'.
 
     Columns: node, cell, side, told (1: the row says only that `node` and `other` are known not to link), label (what joined rows
-    share), other, bucket, size (of the set), the fingerprint. A cell's commonest label is never compared with itself.
+    share; 0: none but itself), other, word of the trie, size (of the set), the fingerprint. What is alike in most rows costs little in a shuffle. A cell's commonest label is never compared with itself.
     """
 
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
         told = cols[3] == 1
         known = set(zip(cols[1][told].tolist(), cols[0][told].tolist(), cols[5][told].tolist(), strict=True))
-        node, cell, side, _, label, _, bucket, size, *prints = (c[~told] for c in cols)
+        node, cell, side, _, label, _, which_word, size, *prints = (c[~told] for c in cols)
+        label = np.where(label == 0, node, label)
         prints = np.stack([c.view(np.uint64) for c in prints], 1)
-        word = prints[np.arange(len(prints)), (bucket >> 48) % WORDS]
+        word = prints[np.arange(len(prints)), which_word]
         # Rows of the commonest label of each cell come first in it.
         pairs, which, times = np.unique(np.stack([cell, label], 1), axis=0, return_inverse=True, return_counts=True)
         which = which.ravel()
@@ -240,14 +241,15 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
     said, open_, forests = None, None, 1
     while True:
         keyed = spread(label)
-        keyed = keyed.join(hot, keyed["bucket"] == hot["hot"], "left").select("node", "bucket", "label", "size", *PRINTS, F.coalesce("n", F.lit(1)).alias("parts"), F.col("bucket").alias("own"))
+        keyed = keyed.join(hot, keyed["bucket"] == hot["hot"], "left").select("node", "bucket", "label", "size", *PRINTS, F.coalesce("n", F.lit(1)).alias("parts"), F.pmod(F.shiftright("bucket", 48), F.lit(WORDS)).cast("int").alias("own"))
         cells = _cells(keyed, "node", "label", "own", "size", *PRINTS)
         if open_ is not None:
             cells = cells.join(open_, "cell", "left_semi")
         zero = F.lit(0).cast("long")
-        cells = cells.select("node", "cell", "side", F.lit(0).alias("told"), "label", zero.alias("other"), "own", "size", *PRINTS)
+        label_ = F.when(F.col("label") != F.col("node"), F.col("label")).otherwise(zero)
+        cells = cells.select("node", "cell", F.col("side").cast("byte").alias("side"), F.lit(0).cast("byte").alias("told"), label_.alias("label"), zero.alias("other"), F.col("own").cast("byte").alias("own"), F.col("size").cast("int").alias("size"), *PRINTS)
         if said is not None:
-            cells = cells.unionByName(said.select(F.col("a").alias("node"), "cell", F.lit(-1).alias("side"), F.lit(1).alias("told"), zero.alias("label"), F.col("b").alias("other"), zero.alias("own"), zero.alias("size"), *(zero.alias(f) for f in PRINTS)))
+            cells = cells.unionByName(said.select(F.col("a").alias("node"), "cell", F.lit(-1).cast("byte").alias("side"), F.lit(1).cast("byte").alias("told"), zero.alias("label"), F.col("b").alias("other"), F.lit(0).cast("byte").alias("own"), F.lit(0).alias("size"), *(zero.alias(f) for f in PRINTS)))
         asked = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forests(forests), "cell long, a long, b long"), "proposed")
         if asked.isEmpty():
             break
