@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle similarity: long SimHash fingerprints, tries under a Hamming budget, exact Jaccard similarity."""
+"""Near-duplicates by shingle similarity: buckets by MinHash, long SimHash fingerprints under a Hamming budget, exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -16,16 +16,21 @@ from sparkloom.llm.simhash import Forest, _by_cell, _cells, _first_rows, trie_se
 from sparkloom.shared_store import materialize
 
 #: Words of a fingerprint (of 64 bits), and the most that two texts of the wanted similarity differ in: of all bits, and of one word. At a
-#: similarity of 0.8 a bit differs with a chance of 0.15, with few shingles of up to 0.19; these are over three standard deviations more.
-WORDS, BUDGET, WORD_BUDGET = 4, 58, 22
-FEW, BUDGET_OF_FEW = 24, 68
+#: similarity of 0.8 a bit differs with a chance of 0.15, with few shingles of up to 0.19; these are over four and a half standard
+#: deviations more.
+WORDS, BUDGET, WORD_BUDGET = 4, 66, 27
+FEW, BUDGET_OF_FEW = 64, 80
+#: A bucket is by so many least hashes, and each text goes to so many buckets: two texts of similarity s share none of them with a
+#: chance of (1 - s ** LEAST) ** BANDS, which is below one in a million at 0.8, whatever the number of texts.
+LEAST, BANDS = 3, 20
 #: Each round of proposals asks for so many times as many forests as the one before.
 GROWTH = 256
-#: Chance that such texts agree in a bit, and that they share a bucket of some table. Rows of a bucket, on average.
+#: Of plan_tables(): chance that such texts agree in a bit, and that they share a bucket of some table. Rows of a bucket, on average.
 AGREE, RECALL, FILL = 0.84, 0.995, 256
 #: Rows of a part of a large bucket. Buckets of over so many rows link all to their middle before pairs are looked for.
 CHUNK, CROWD = 2048, 1024
 PRINTS = [f"f{i}" for i in range(WORDS)]
+KEYS = [f"b{i}" for i in range(BANDS)]
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
@@ -60,17 +65,41 @@ def long_print(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and summands of the hash functions whose least values make the buckets."""
+    rng = np.random.default_rng(11)
+    a, b = (rng.integers(0, 2**64, (LEAST * BANDS, 1), np.uint64) for _ in range(2))
+    return a | np.uint64(1), b
+
+
+def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+    """The text's bucket of each band: of LEAST hash functions, the least values that its shingles have."""
+    factor, summand = _functions()
+    least = np.full(LEAST * BANDS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        h = hashes[i : i + 1024]
+        z = (h ^ (h >> np.uint64(32))) * factor
+        z += summand
+        np.minimum(least, z.min(1), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in least.reshape(BANDS, LEAST).T:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, prints, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros(batch.num_rows, np.int64)
+            nodes, prints, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, WORDS + BANDS), np.uint64), np.zeros(batch.num_rows, np.int64)
             for i, t in enumerate(batch.column(2)):
                 h = shingle_hashes(t.as_py() or "", words)
                 nodes[i] = xxhash.xxh64_intdigest(h.tobytes(), 1)
-                prints[i], sizes[i] = long_print(h), len(h)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in (nodes, sizes, *prints.T.copy()))], ["doc_id", "mark", "node", "size", *PRINTS])
+                prints[i, :WORDS], prints[i, WORDS:], sizes[i] = long_print(h), bucket_keys(h), len(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in (nodes, sizes, *prints.T.copy()))], ["doc_id", "mark", "node", "size", *PRINTS, *KEYS])
 
     return run
 
@@ -84,24 +113,11 @@ def _sets(words: int):
     return run
 
 
-def _spread(tables: list[np.ndarray]):
-    """A row for each table: its bucket is the table and the sampled bits; the trie is made of another word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                prints = np.stack([part.column(3 + i).to_numpy().view(np.uint64) for i in range(WORDS)], 1)
-                bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, WORDS * 8), axis=1).astype(np.int64)
-                for t, places in enumerate(tables):
-                    bucket = (bits[:, places] << np.arange(len(places))).sum(1) | t << 48
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bucket)], [*part.schema.names, "bucket"])
-
-    return run
-
-
 def plan_tables(n: int, seed: int = 3) -> list[np.ndarray]:
-    """Places of the bits that each table samples, for n fingerprints: enough for FILL a bucket, and tables for RECALL."""
+    """Places of the bits that each table samples, for n fingerprints: enough for FILL a bucket, and tables for RECALL.
+
+    A join by such tables has more of them the more rows there are; similar_duplicates() goes by bucket_keys() instead.
+    """
     k = min(40, max(4, math.ceil(math.log2(max(n, 2) / FILL))))
     count = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**k))
     rng = np.random.default_rng(seed)
@@ -128,7 +144,7 @@ def _middles(cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _forests(rounds: int):
+def _forests(rounds: int, similarity: float):
     """Links between what isn't joined yet: nearest first, `rounds` forests of them, so that their number follows the rows'.
 
     Columns: node, cell, side, told (1: the row says only that `node` and `other` are known not to link), label (what joined rows
@@ -160,23 +176,31 @@ def _forests(rounds: int):
             found += list(trie_self_join(word, tree, WORD_BUDGET, None, (begin[two], end[two], begin[two + 1], end[two + 1])))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
         far = np.bitwise_count(prints[i] ^ prints[j]).sum(1)
-        ok = (far <= np.where(np.minimum(size[i], size[j]) < FEW, BUDGET_OF_FEW, BUDGET)) & (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        ok = (far <= np.where(less < FEW, BUDGET_OF_FEW, BUDGET)) & (less >= similarity * more - 1e-9) & (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
         i, j, far = i[ok], j[ok], far[ok]
         by = np.lexsort((j, i, far))
-        waiting = [(x, y) for x, y in zip(i[by].tolist(), j[by].tolist(), strict=True) if (int(cell[x]), min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))) not in known]
+        i, j = i[by], j[by]
+        if known:
+            new = [key not in known for key in zip(cell[i].tolist(), np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist(), strict=True)]
+            i, j = i[new], j[new]
         _, first = np.unique(which, return_index=True)
         group = first[np.searchsorted(np.unique(which), which)].tolist()
         taken = []
-        for _ in range(rounds):
-            forest, later = Forest(len(node)), []
-            for x, y in waiting:
-                if forest.join(group[x], group[y]):
-                    taken.append((x, y))
-                else:
-                    later.append((x, y))
-            if len(later) == len(waiting):
+        if 1 < rounds and len(i) <= rounds * len(pairs):  # so many forests hold hardly fewer than all
+            taken, rounds_left = list(zip(i.tolist(), j.tolist(), strict=True)), 0
+        else:
+            rounds_left = rounds
+        for _ in range(rounds_left):
+            forest, later = Forest(len(node)), np.ones(len(i), bool)
+            for k in range(0, len(i), 50_000):  # there may be many pairs, and as Python's numbers they are large
+                for m, (x, y) in enumerate(zip(i[k : k + 50_000].tolist(), j[k : k + 50_000].tolist(), strict=True), k):
+                    if forest.join(group[x], group[y]):
+                        taken.append((x, y))
+                        later[m] = False
+            if later.all():
                 break
-            waiting = later
+            i, j = i[later], j[later]
         x, y = (np.array([t[k] for t in taken], np.int64) for k in range(2))
         return pa.RecordBatch.from_arrays([pa.array(cell[x]), pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["cell", "a", "b"])
 
@@ -184,26 +208,30 @@ def _forests(rounds: int):
 
 
 class _Verifier:
-    """Exact similarity of links; the sets of those texts alone that some link names are made, once each round."""
+    """Exact similarity of links, by the sets of those texts alone that share a bucket with another; they are made once."""
 
-    def __init__(self, docs: DataFrame, prints: DataFrame, words: int, similarity: float, key: str, text: str):
-        self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
-        self.owners = prints.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select("node", F.col("r.doc_id").alias("d"), F.col("r.mark").alias("m"))
-        self.words, self.similarity = words, similarity
+    def __init__(self, rows: DataFrame, prints: DataFrame, asked: DataFrame, words: int, similarity: float):
+        owners = prints.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select("node", F.col("r.doc_id").alias("d"), F.col("r.mark").alias("m"))
+        owners = materialize(owners.join(asked, "node", "left_semi"), "asked")
+        texts = rows.join(owners, (rows["doc_id"] == owners["d"]) & rows["mark"].eqNullSafe(owners["m"])).select("node", "text")
+        self.sets = materialize(texts.mapInArrow(_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]), "sets", compression="zstd")
+        self.similarity = similarity
 
     def judge(self, links: DataFrame) -> DataFrame:
         """(a, b, ok) for each distinct link."""
         links = materialize(links.select("a", "b").distinct(), "links")
-        asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        asked = materialize(self.owners.join(asked, "node", "left_semi"), "asked")
-        texts = self.rows.join(asked, (self.rows["doc_id"] == asked["d"]) & (self.rows["mark"] == asked["m"])).select("node", "text")
-        sets = materialize(texts.mapInArrow(_sets(self.words), "node long, hashes array<long>").dropDuplicates(["node"]), "sets", compression="zstd")
-        left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+        left, right = (self.sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
         both = F.size(F.array_intersect("x", "y"))
         met = links.join(left, "a").join(right, "b").select("a", "b", both.alias("n"), (F.size("x") + F.size("y")).alias("s"))
         return materialize(met.select("a", "b", (F.col("n") >= self.similarity * (F.col("s") - F.col("n")) - 1e-9).alias("ok")), "judged")
 
 
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, count) of the buckets that hold several nodes: most texts are like no other and take no further part."""
+    keyed = nodes.select("node", F.explode(F.array(*KEYS)).alias("bucket"))
+    return keyed.join(materialize(keyed.groupBy("bucket").count().filter("count > 1"), "buckets"), "bucket")
+
+
 def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, component_id) for each row with a key: its component's smallest doc_id; node tells its set of shingles.
 
@@ -211,37 +239,36 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
     similarity of `similarity` (0.8 or more) at least, and a component is what links join. Null, empty and wordless texts are equal, as are texts with the same set; an
     empty table gives no rows.
 
-    Texts that may link are found by SimHash fingerprints of 256 bits: tables of sampled bits make buckets, in a bucket a trie of one
-    word is joined with itself under a budget of differing bits, and then all bits are compared. Each link that counts is verified
-    by the sets. A bucket proposes spanning forests, nearest pairs first, not all pairs; where a proposed link fails, its bucket is
-    asked again, for more, without what failed, until every proposal held. So a link is lost only if no table has it in a bucket.
+    Texts that may link meet in buckets by MinHash, BANDS of them for each text, however many texts there are. In a bucket a trie of one
+    word of SimHash fingerprints of 256 bits is joined with itself under a budget of differing bits, and then all bits are compared. Each
+    link that counts is verified by the sets. A bucket proposes spanning forests, nearest pairs first, not all pairs; where a proposed
+    link fails, its bucket is asked again, for more, without what failed, until every proposal held. So a link is lost only if no
+    band has it in a bucket, or if the fingerprints differ by over four and a half standard deviations more than those of such texts do.
     """
     if not 0.8 <= similarity <= 1:
-        raise ValueError("the tables are laid out for a similarity of 0.8 or more")
+        raise ValueError("the buckets are laid out for a similarity of 0.8 or more")
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(_prints(words), "doc_id long, mark long, node long, size long, " + ", ".join(f"{f} long" for f in PRINTS)), "long-prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in ("size", *PRINTS))), "nodes")
-    tables = plan_tables(nodes.count())
-    verifier = _Verifier(docs, prints, words, similarity, key, text)
-
-    def spread(label: DataFrame | None) -> DataFrame:
-        own = nodes.select("node", F.col("node").alias("label"), "size", *PRINTS) if label is None else nodes.join(label.withColumnRenamed("component", "c"), "node", "left").select("node", F.coalesce("c", "node").alias("label"), "size", *PRINTS)
-        return own.mapInArrow(_spread(tables), "node long, label long, size long, " + ", ".join(f"{f} long" for f in PRINTS) + ", bucket long")
-
-    sizes = materialize(spread(None).groupBy("bucket").count().filter(F.col("count") > CROWD), "crowds")
+    prints = materialize(rows.mapInArrow(_prints(words), "doc_id long, mark long, node long, size long, " + ", ".join(f"{f} long" for f in (*PRINTS, *KEYS))), "long-prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f).alias(f) for f in ("size", *PRINTS, *KEYS))), "nodes")
+    met = materialize(shared_buckets(nodes), "met")
+    candidates = materialize(met.select("node").distinct(), "candidates")
+    verifier = _Verifier(rows, prints, candidates, words, similarity)
+    own = materialize(nodes.join(candidates, "node", "left_semi").select("node", "size", *PRINTS), "own")
+
+    sizes = met.filter(F.col("count") > CROWD)
     links, label = [], None
     if not sizes.isEmpty():
-        crowded = spread(None).join(sizes, "bucket").select("node", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"), *PRINTS)
+        crowded = sizes.join(own, "node").select("node", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"), *PRINTS)
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         crowded = crowded.select("node", F.xxhash64("bucket", part).alias("cell"), *PRINTS)
         middles = crowded.repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_middles), "a long, b long")
         links = [verifier.judge(middles).filter("ok").select("a", "b")]
         label = connected_components(links[0])
-    hot = sizes.select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / CHUNK).cast("int").alias("n"))
     said, open_, forests = None, None, 1
     while True:
-        keyed = spread(label)
-        keyed = keyed.join(hot, keyed["bucket"] == hot["hot"], "left").select("node", "bucket", "label", "size", *PRINTS, F.coalesce("n", F.lit(1)).alias("parts"), F.pmod(F.shiftright("bucket", 48), F.lit(WORDS)).cast("int").alias("own"))
+        named = own.withColumn("label", F.col("node")) if label is None else own.join(label.withColumnRenamed("component", "c"), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
+        parts = F.when(F.col("count") > CROWD, F.ceil(F.col("count") / CHUNK).cast("int")).otherwise(1)
+        keyed = met.join(named, "node").select("node", "bucket", "label", "size", *PRINTS, parts.alias("parts"), F.pmod("bucket", F.lit(WORDS)).cast("int").alias("own"))
         cells = _cells(keyed, "node", "label", "own", "size", *PRINTS)
         if open_ is not None:
             cells = cells.join(open_, "cell", "left_semi")
@@ -250,7 +277,7 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
         cells = cells.select("node", "cell", F.col("side").cast("byte").alias("side"), F.lit(0).cast("byte").alias("told"), label_.alias("label"), zero.alias("other"), F.col("own").cast("byte").alias("own"), F.col("size").cast("int").alias("size"), *PRINTS)
         if said is not None:
             cells = cells.unionByName(said.select(F.col("a").alias("node"), "cell", F.lit(-1).cast("byte").alias("side"), F.lit(1).cast("byte").alias("told"), zero.alias("label"), F.col("b").alias("other"), F.lit(0).cast("byte").alias("own"), F.lit(0).alias("size"), *(zero.alias(f) for f in PRINTS)))
-        asked = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forests(forests), "cell long, a long, b long"), "proposed")
+        asked = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forests(forests, similarity), "cell long, a long, b long"), "proposed")
         if asked.isEmpty():
             break
         judged = verifier.judge(asked)
