@@ -8,6 +8,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -267,16 +268,17 @@ def indexes(benchmark: DataFrame, *, key: str = "item_id", text: str = "text", s
     return [*out, Index(items, similarity)] if items else out
 
 
-def _batched(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, list]]:
-    """(place of the first, texts): runs of texts of about `most` characters; a longer text is one of its own."""
+def _batched(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list]]:
+    """(place of the first, texts): runs of texts of about `most` bytes; a longer text is one of its own. Only a run's texts are Python's at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes.tolist()):
+        size += n
         if size > most:
-            yield at, texts[at : i + 1]
+            yield at, texts.slice(at, i + 1 - at).to_pylist()
             at, size = i + 1, 0
     if at < len(texts):
-        yield at, texts[at:]
+        yield at, texts.slice(at).to_pylist()
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, similarity: float) -> list[list]:
@@ -303,7 +305,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), []
-                for at, texts in _batched(batch.column(1).to_pylist()):
+                for at, texts in _batched(batch.column(1)):
                     for index in (s.value for s in shared):
                         for d, i, e in index.leaks(texts):
                             n = int(index.sizes[i])
@@ -322,7 +324,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bad = {at + d for at, texts in _batched(batch.column(place).to_pylist()) for s in shared for d, _, _ in s.value.leaks(texts)}
+                bad = {at + d for at, texts in _batched(batch.column(place)) for s in shared for d, _, _ in s.value.leaks(texts)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
