@@ -29,6 +29,8 @@ GROWTH = 256
 AGREE, RECALL, FILL = 0.84, 0.995, 256
 #: Rows of a part of a large bucket. Buckets of over so many rows link all to their middle before pairs are looked for.
 CHUNK, CROWD = 2048, 1024
+#: Links that one task joins at once (tens of MB); more take the rounds of connected_components(), each of which writes a small table.
+AT_ONCE = 500_000
 PRINTS = [f"f{i}" for i in range(WORDS)]
 KEYS = [f"b{i}" for i in range(BANDS)]
 
@@ -219,13 +221,35 @@ class _Verifier:
 
     def judge(self, links: DataFrame) -> DataFrame:
         """(a, b, ok) for each distinct link."""
-        links = materialize(links.select("a", "b").distinct(), "links")
+        links = links.select("a", "b").distinct()
         left, right = (self.sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
         both = F.size(F.array_intersect("x", "y"))
         met = links.join(left, "a").join(right, "b").select("a", "b", both.alias("n"), (F.size("x") + F.size("y")).alias("s"))
         return materialize(met.select("a", "b", (F.col("n") >= self.similarity * (F.col("s") - F.col("n")) - 1e-9).alias("ok")), "judged")
 
 
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links (a, b), as connected_components() has them."""
+    read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not read:
+        return
+    ends = np.concatenate([x for k in range(2) for x in (pair[k] for pair in read)])
+    nodes, place = np.unique(ends, return_inverse=True)
+    forest = Forest(len(nodes))
+    for x, y in place.reshape(2, -1).T.tolist():
+        forest.join(x, y)
+    root = np.array([forest.root(i) for i in range(len(nodes))])
+    more = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[root[more]])], ["node", "component"])
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """connected_components(), in one task if there are few links: none of them null."""
+    if links.count() > AT_ONCE:
+        return connected_components(links)
+    return materialize(links.coalesce(1).mapInArrow(_join_all, "node long, component long"), "joined")
+
+
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, count) of the buckets that hold several nodes: most texts are like no other and take no further part."""
     keyed = nodes.select("node", F.explode(F.array(*KEYS)).alias("bucket"))
@@ -263,7 +287,7 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
         crowded = crowded.select("node", F.xxhash64("bucket", part).alias("cell"), *PRINTS)
         middles = crowded.repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_middles), "a long, b long")
         links = [verifier.judge(middles).filter("ok").select("a", "b")]
-        label = connected_components(links[0])
+        label = _joined(links[0])
     said, open_, forests = None, None, 1
     while True:
         named = own.withColumn("label", F.col("node")) if label is None else own.join(label.withColumnRenamed("component", "c"), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
@@ -283,7 +307,7 @@ def similar_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0
         judged = verifier.judge(asked)
         links.append(judged.filter("ok").select("a", "b"))
         failed = materialize(asked.join(judged.filter("not ok").select("a", "b"), ["a", "b"]), "failed")
-        label = connected_components(functools.reduce(DataFrame.unionByName, links))
+        label = _joined(functools.reduce(DataFrame.unionByName, links))
         if failed.isEmpty():
             break
         said = failed if said is None else said.unionByName(failed)
