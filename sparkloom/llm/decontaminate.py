@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.memory import frugal
+
 SIMILARITY = 0.8
 #: Longest window. A longer item is cut into pieces of this many words, each looked up like an item of its own: of pieces that
 #: share floor((1 - similarity) * n) edits, one has its share of them or fewer.
@@ -327,5 +329,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
                 bad = {at + d for at, texts in _batched(batch.column(place)) for s in shared for d, _, _ in s.value.leaks(texts)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.memory import frugal
 from sparkloom.shared_store import materialize
 
 SIZE = 2048
@@ -81,7 +82,7 @@ def _tokenize(vocabulary: str, size: int):
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return frugal(run)
 
 
 def tokenize(docs: DataFrame, *, vocabulary: str | None = None, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:

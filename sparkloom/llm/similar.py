@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
+from sparkloom.llm.memory import frugal
 from sparkloom.llm.simhash import Forest, _by_cell, _cells, _first_rows, trie_self_join
 from sparkloom.shared_store import materialize
 
@@ -103,7 +104,7 @@ def _prints(words: int):
                 prints[i, :WORDS], prints[i, WORDS:], sizes[i] = long_print(h), bucket_keys(h), len(h)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in (nodes, sizes, *prints.T.copy()))], ["doc_id", "mark", "node", "size", *PRINTS, *KEYS])
 
-    return run
+    return frugal(run)
 
 
 def _sets(words: int):
@@ -112,7 +113,7 @@ def _sets(words: int):
             sets = [shingle_hashes(t.as_py() or "", words).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    return run
+    return frugal(run)
 
 
 def plan_tables(n: int, seed: int = 3) -> list[np.ndarray]:
@@ -206,7 +207,7 @@ def _forests(rounds: int, similarity: float):
         x, y = (np.array([t[k] for t in taken], np.int64) for k in range(2))
         return pa.RecordBatch.from_arrays([pa.array(cell[x]), pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["cell", "a", "b"])
 
-    return _by_cell(work)
+    return frugal(_by_cell(work))
 
 
 class _Verifier:
