@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as V
-from sparkloom.operators import index
+from sparkloom.operators import blocks, compress, index, retrieve
 
 
 def plan(df) -> str:
@@ -36,3 +39,32 @@ def test_embeddings_are_formed_within_the_row(spark):
     e = index.embed(s)
     assert not any(x in plan(e) for x in ("Exchange", "Aggregate", "Sort", "Window"))
     assert {r["symbol_id"]: [(x["bucket"], round(x["value"], 12)) for x in r["embedding"]] for r in e.collect()} == {i: [(b, round(v, 12)) for b, v in plain_embedding(t)] for i, t in ((1, ["one", "two"]), (3, ["one"]))}
+
+
+def test_encoded_runs_are_read_once(spark):
+    """A run that is too short was read again from each of its characters, and each text several times."""
+    runs = ["QUJD" * 500, "QUJD" * 511 + "Q", "QUJD" * 512, "x QUJD" * 600, "=" + "QUJD" * 600 + "===" + "QUJD" * 700 + "é" + "a" * 2047, "a" * 40_000, ("b" * 2000 + " ") * 400]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(runs)], "i long, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", compress.compress_text(F.col("t"), F.lit(10**7), F.lit(500)).alias("c")).collect()}
+    assert [got[i] for i in range(len(runs))] == [compress.compress(x, 10**7, 500) for x in runs]
+    assert re.sub(compress.ENCODED_AT, "", "".join(runs)) == re.sub(compress.ENCODED, "", "".join(runs))
+    lines = ["an ERROR", "fine", "Panic", "assertion", "xwarnx", "rror", "İerror", "", "trace back", "TraceBack"]
+    told = spark.createDataFrame([(x,) for x in lines], "t string").select("t", compress.tells(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in told} == {x: bool(re.search(f"(?i){compress.IMPORTANT}", x)) for x in lines}
+
+
+def test_cosines_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    monkeypatch.setattr(blocks, "QUERIES", 7)
+    rng = np.random.default_rng(5)
+    v = [[float(x) for x in rng.integers(-2, 3, 4)] for _ in range(150)]  # many ties
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0], [math.nan, 1.0, 0.0, 0.0]]
+    rows = [(i % 2, i, x) for i, x in enumerate(v + odd)]
+    df = spark.createDataFrame(rows, "repository_id long, symbol_id long, embedding array<float>")
+    q = df.filter("symbol_id % 5 = 0 or symbol_id >= 150").select(F.col("symbol_id").alias("query_id"), "repository_id", F.col("embedding").alias("vector"))
+    got = retrieve.vector_hits(q, df, 9)
+    p = plan(got)
+    assert "FlatMapCoGroupsInArrow" in p
+    exact = df.join(q, "repository_id").select("query_id", "symbol_id", F.round(V.cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).filter("score is not null")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["symbol_id"], repr(r["score"] + 0.0)) for r in df.collect())
+    assert key(got) == key(retrieve.best(exact, 9, "semantic"))
