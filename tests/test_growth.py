@@ -68,3 +68,18 @@ def test_cosines_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
     exact = df.join(q, "repository_id").select("query_id", "symbol_id", F.round(V.cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).filter("score is not null")
     key = lambda df: sorted((r["query_id"], r["rank"], r["symbol_id"], repr(r["score"] + 0.0)) for r in df.collect())
     assert key(got) == key(retrieve.best(exact, 9, "semantic"))
+
+
+def test_many_queries_in_blocks_find_what_few_find(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 30)
+    monkeypatch.setattr(blocks, "QUERIES", 7)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(25)]
+    code = lambda n: " ".join(rng.choice(words, n))
+    s = spark.createDataFrame([(i % 2, i, code(int(rng.integers(0, 12)))) for i in range(120)], "repository_id long, symbol_id long, source_code string")
+    q = spark.createDataFrame([(i, i % 3, x) for i, x in enumerate([code(3) for _ in range(30)] + ["", "none"])], "query_id long, repository_id long, question string")
+    i = retrieve.build_index(s)
+    key = lambda df: sorted(map(repr, df.collect()))
+    few, many = key(retrieve.lexical_hits(q, i.lists, 5)), key(retrieve.lexical_hits_of_many(q, i.lists, 5))
+    assert few == many and len(few) > 90
+    assert key(retrieve.semantic_hits(q, i.vectors, 5)) == key(retrieve.semantic_hits_of_many(q, i.vectors, 5))
