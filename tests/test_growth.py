@@ -6,8 +6,10 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as X
 from sparkloom.functions import vectors as V
 from sparkloom.operators import blocks, compress, index, retrieve
 
@@ -83,3 +85,9 @@ def test_many_queries_in_blocks_find_what_few_find(spark, monkeypatch):
     few, many = key(retrieve.lexical_hits(q, i.lists, 5)), key(retrieve.lexical_hits_of_many(q, i.lists, 5))
     assert few == many and len(few) > 90
     assert key(retrieve.semantic_hits(q, i.vectors, 5)) == key(retrieve.semantic_hits_of_many(q, i.vectors, 5))
+
+
+def test_search_terms_stay_in_arrow():
+    idents = [["fooBar", "foo", "FOO"], None, [], ["x"] * 3] * 100  # more than a slice
+    got = X.search_terms.func(pa.array(idents, pa.list_(pa.string()))).to_pylist()
+    assert got == [["fooBar", "foo", "bar"], [], [], ["x"]] * 100
