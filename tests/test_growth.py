@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions import vectors as V
-from sparkloom.operators import blocks, compress, index, retrieve
+from sparkloom.operators import blocks, compress, findings, index, retrieve
 
 
 def plan(df) -> str:
@@ -91,3 +91,17 @@ def test_search_terms_stay_in_arrow():
     idents = [["fooBar", "foo", "FOO"], None, [], ["x"] * 3] * 100  # more than a slice
     got = X.search_terms.func(pa.array(idents, pa.list_(pa.string()))).to_pylist()
     assert got == [["fooBar", "foo", "bar"], [], [], ["x"]] * 100
+
+
+def test_findings_of_a_line_and_equal_spans_meet_once(spark):
+    s = [(i, f"f{i % 2}", "module" if i % 7 == 0 else "class", i % 5 * 40, i % 5 * 40 + i % 3 * 30) for i in range(90)]
+    f = [(i, f"f{i % 3}", i % 11 * 25) for i in range(80)]
+    df = spark.createDataFrame(s, "symbol_id long, file_path string, symbol_type string, start_line int, end_line int")
+    got = findings.enclosing_symbols(spark.createDataFrame(f, "finding_id long, file_path string, line int"), df)
+    assert re.search(r"Aggregate \[file_path#\d+, line#\d+L\], \[file_path", got._jdf.queryExecution().analyzed().toString())
+    want = {}
+    for i, path, line in f:
+        inner = [(t == "module", b - a, k) for k, p, t, a, b in s if p == path and a <= line <= b]
+        modules = [k for k, p, t, _, _ in s if p == path and t == "module"]
+        want[i] = (min(inner)[2], "span") if inner else (min(modules), "module") if modules else (None, None)
+    assert {r["finding_id"]: (r["symbol_id"], r["how"]) for r in got.collect()} == want
